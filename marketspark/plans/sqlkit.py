@@ -127,3 +127,53 @@ def with_(needs: str, body: str, **extra: str) -> str:
         visit(name)
     parts = [f"{n} AS ({CTES[n][1] or _BODIES[n]})" for n in names] + [f"{n} AS ({b})" for n, b in extra.items()]
     return f"WITH RECURSIVE {', '.join(parts)} {body}"
+
+
+def over(rows: int | None = None, by: str = "symbol", order: str = "ts") -> str:
+    """Window clause; ``rows`` counts the current row, None is everything up to now."""
+    start = "UNBOUNDED PRECEDING" if rows is None else f"{rows - 1} PRECEDING"
+    return f"OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN {start} AND CURRENT ROW)"
+
+
+def prior(rows: int, by: str = "symbol", order: str = "ts") -> str:
+    return f"OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING)"
+
+
+def full(agg: str, rows: int) -> str:
+    """Aggregate over the last rows, NULL before there are enough (needs ``rn``)."""
+    return f"CASE WHEN rn >= {rows} THEN {agg} {over(rows)} END"
+
+
+def lag(col: str, k: int = 1) -> str:
+    return f"lag({col}, {k}) OVER (PARTITION BY symbol ORDER BY ts)"
+
+
+def recursion(src: str, **outs: tuple[str, str]) -> str:
+    """y = a·y₋₁ + b along ``rn`` of each symbol of ``src``; a = 0 starts, a NULL gives NULL."""
+    first = ", ".join(f"CASE WHEN {a} = 0 THEN {b} END AS {o}" for o, (a, b) in outs.items())
+    again = ", ".join(f"CASE WHEN s.{o}_a = 0 THEN s.{o}_b ELSE s.{o}_a * r.{o} + s.{o}_b END" for o in outs)
+    coded = ", ".join(f"CAST({a} AS DOUBLE) AS {o}_a, CAST({b} AS DOUBLE) AS {o}_b" for o, (a, b) in outs.items())
+    first = ", ".join(f"CASE WHEN {o}_a = 0 THEN {o}_b END AS {o}" for o in outs)
+    return f"""WITH RECURSIVE coded AS MATERIALIZED (SELECT symbol, rn, {coded} FROM {src}),
+    r AS (SELECT symbol, rn, {first} FROM coded WHERE rn = 1 UNION ALL
+    SELECT s.symbol, s.rn, {again} FROM r JOIN coded s ON s.symbol = r.symbol AND s.rn = r.rn + 1)
+    SELECT b.*, {', '.join('r.' + o for o in outs)} FROM r JOIN {src} b USING (symbol, rn)"""
+
+
+def seed(x: str, p: int, keep: str, gain: str, agg: str = "avg") -> tuple[str, str]:
+    """Coefficients of a recursion started at the p-th value of the *column* x."""
+    met = f"count({x}) {over()}"
+    a = f"CASE WHEN {met} = {p} THEN 0 WHEN {met} > {p} THEN {keep} END"
+    b = f"CASE WHEN {met} = {p} THEN {agg}({x}) {over(p)} WHEN {met} > {p} THEN ({gain}) * {x} END"
+    return a, b
+
+
+def ema_coef(x: str, p: int) -> tuple[str, str]:
+    return seed(x, p, f"({p - 1}.0::DOUBLE / {p + 1})", f"2.0::DOUBLE / {p + 1}")
+
+
+def wilder_coef(x: str, p: int, total: bool = False) -> tuple[str, str]:
+    return seed(x, p, f"({p - 1}.0::DOUBLE / {p})", "1" if total else f"1.0::DOUBLE / {p}", "sum" if total else "avg")
+
+
+TR = f"CASE WHEN rn > 1 THEN greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) END"
