@@ -76,13 +76,30 @@ def catalogue(spark: SparkSession, category: str | None = None, search: str = ""
 
 # ── building blocks ────────────────────────────────────────────────────────────────────────
 
-_close, _high, _low, _volume = F.col("close"), F.col("high"), F.col("low"), F.col("volume")
-_typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
+
+def _close() -> Column:
+    return F.col("close")
+
+
+def _high() -> Column:
+    return F.col("high")
+
+
+def _low() -> Column:
+    return F.col("low")
+
+
+def _volume() -> Column:
+    return F.col("volume")
+
+
+def _typical() -> Column:
+    return (_high() + _low() + _close()) / 3.0
 
 
 def true_range(w: WindowSpec) -> Column:
     before = F.lag("close").over(w)
-    return F.when(before.isNotNull(), F.greatest(_high - _low, F.abs(_high - before), F.abs(_low - before)))
+    return F.when(before.isNotNull(), F.greatest(_high() - _low(), F.abs(_high() - before), F.abs(_low() - before)))
 
 
 def seeded(value: Column, period: int, w: WindowSpec, keep: float, gain: float, seed: str = "avg") -> tuple[Column, Column]:
@@ -108,7 +125,7 @@ def _wilder_of(df: DataFrame, ax: Axis, columns: dict[str, Column], period: int,
 
 
 def _range_mid(period: int, w: WindowSpec) -> Column:
-    return (full_frame(F.max("high"), _high, w, period) + full_frame(F.min("low"), _low, w, period)) / 2
+    return (full_frame(F.max("high"), _high(), w, period) + full_frame(F.min("low"), _low(), w, period)) / 2
 
 
 def _share_at_or_below(value: str, rows: int, w: WindowSpec) -> tuple[Column, Column]:
@@ -124,19 +141,19 @@ def _share_at_or_below(value: str, rows: int, w: WindowSpec) -> tuple[Column, Co
 @indicator("trend", period=20)
 def sma(df, ax, out, period):
     """Simple moving average."""
-    return df.withColumn(out, full_frame(F.avg("close"), _close, ax.w, period))
+    return df.withColumn(out, full_frame(F.avg("close"), _close(), ax.w, period))
 
 
 @indicator("trend", period=20)
 def ema(df, ax, out, period):
     """Exponential moving average, started with the simple mean."""
-    return _ema_of(df, ax, out, _close, period)
+    return _ema_of(df, ax, out, _close(), period)
 
 
 @indicator("trend", period=20)
 def dema(df, ax, out, period):
     """Double exponential moving average."""
-    df = _ema_of(df, ax, "_e1", _close, period)
+    df = _ema_of(df, ax, "_e1", _close(), period)
     df = _ema_of(df, ax, "_e2", F.col("_e1"), period)
     return df.withColumn(out, 2 * F.col("_e1") - F.col("_e2")).drop("_e1", "_e2")
 
@@ -144,7 +161,7 @@ def dema(df, ax, out, period):
 @indicator("trend", period=20)
 def tema(df, ax, out, period):
     """Triple exponential moving average."""
-    df = _ema_of(df, ax, "_e1", _close, period)
+    df = _ema_of(df, ax, "_e1", _close(), period)
     df = _ema_of(df, ax, "_e2", F.col("_e1"), period)
     df = _ema_of(df, ax, "_e3", F.col("_e2"), period)
     return df.withColumn(out, 3 * F.col("_e1") - 3 * F.col("_e2") + F.col("_e3")).drop("_e1", "_e2", "_e3")
@@ -163,7 +180,7 @@ def weighted_mean(value: Column, period: int, w: WindowSpec, position: Column) -
 def wma(df, ax, out, period):
     """Linearly weighted moving average."""
     df = df.withColumn("_i", F.row_number().over(ax.w))
-    return df.withColumn(out, weighted_mean(_close, period, ax.w, F.col("_i"))).drop("_i")
+    return df.withColumn(out, weighted_mean(_close(), period, ax.w, F.col("_i"))).drop("_i")
 
 
 @indicator("trend", period=20)
@@ -172,7 +189,7 @@ def hma(df, ax, out, period):
     half, root = max(1, period // 2), max(1, math.isqrt(period))
     i = F.col("_i")
     df = df.withColumn("_i", F.row_number().over(ax.w))
-    df = df.withColumn("_d", 2 * weighted_mean(_close, half, ax.w, i) - weighted_mean(_close, period, ax.w, i))
+    df = df.withColumn("_d", 2 * weighted_mean(_close(), half, ax.w, i) - weighted_mean(_close(), period, ax.w, i))
     return df.withColumn(out, weighted_mean(F.col("_d"), root, ax.w, i)).drop("_i", "_d")
 
 
@@ -209,7 +226,7 @@ def minus_di(df, ax, out, period):
 
 def _directional(df: DataFrame, ax: Axis, period: int) -> DataFrame:
     w = ax.w
-    up, down = _high - F.lag("high").over(w), F.lag("low").over(w) - _low
+    up, down = _high() - F.lag("high").over(w), F.lag("low").over(w) - _low()
     df = df.withColumns({"_tr": true_range(w), "_up": up, "_dn": down})
     up, down = F.col("_up"), F.col("_dn")
     known = up.isNotNull()
@@ -332,7 +349,7 @@ def ichimoku_senkou_b(df, ax, out, period, shift):
 def rsi(df, ax, out, period):
     """Relative strength index (Wilder); a series without losses gives rs = 100."""
     move = F.col("_mv")
-    df = df.withColumn("_mv", _close - F.lag("close").over(ax.w))
+    df = df.withColumn("_mv", _close() - F.lag("close").over(ax.w))
     parts = {"_g": F.when(move.isNotNull(), F.greatest(move, F.lit(0.0))), "_l": F.when(move.isNotNull(), F.greatest(-move, F.lit(0.0)))}
     df = _wilder_of(df, ax, parts, period)
     emitted = F.count("_mv").over(through_now(ax.w)) > period
@@ -343,7 +360,7 @@ def rsi(df, ax, out, period):
 @indicator("momentum", period=14)
 def rsi_simple(df, ax, out, period):
     """RSI from plain means of the last moves; 50 while there are too few, 100 without losses."""
-    df = df.withColumn("_mv", _close - F.lag("close").over(ax.w))
+    df = df.withColumn("_mv", _close() - F.lag("close").over(ax.w))
     frame = lookback(ax.w, period)
     gain = F.sum(F.greatest(F.col("_mv"), F.lit(0.0))).over(frame) / period
     loss = F.sum(F.greatest(-F.col("_mv"), F.lit(0.0))).over(frame) / period
@@ -352,8 +369,8 @@ def rsi_simple(df, ax, out, period):
 
 
 def _macd_line(df, ax, out, fast, slow):
-    df = _ema_of(df, ax, "_f", _close, fast)
-    df = _ema_of(df, ax, "_s", _close, slow)
+    df = _ema_of(df, ax, "_f", _close(), fast)
+    df = _ema_of(df, ax, "_s", _close(), slow)
     return df.withColumn(out, F.col("_f") - F.col("_s")).drop("_f", "_s")
 
 
@@ -377,8 +394,8 @@ def macd_histogram(df, ax, out, fast, slow, signal):
 
 
 def _raw_k(period: int, w: WindowSpec) -> Column:
-    top, bottom = full_frame(F.max("high"), _high, w, period), full_frame(F.min("low"), _low, w, period)
-    return F.when(top != bottom, 100.0 * (_close - bottom) / (top - bottom)).when(top == bottom, 50.0)
+    top, bottom = full_frame(F.max("high"), _high(), w, period), full_frame(F.min("low"), _low(), w, period)
+    return F.when(top != bottom, 100.0 * (_close() - bottom) / (top - bottom)).when(top == bottom, 50.0)
 
 
 @indicator("momentum", period=14, smooth=3)
@@ -398,14 +415,14 @@ def stoch_d(df, ax, out, period, smooth):
 @indicator("momentum", period=14)
 def williams_r(df, ax, out, period):
     """Williams %R; −50 in a flat range."""
-    top, bottom = full_frame(F.max("high"), _high, ax.w, period), full_frame(F.min("low"), _low, ax.w, period)
-    return df.withColumn(out, F.when(top != bottom, -100.0 * (top - _close) / (top - bottom)).when(top == bottom, -50.0))
+    top, bottom = full_frame(F.max("high"), _high(), ax.w, period), full_frame(F.min("low"), _low(), ax.w, period)
+    return df.withColumn(out, F.when(top != bottom, -100.0 * (top - _close()) / (top - bottom)).when(top == bottom, -50.0))
 
 
 @indicator("momentum", period=20)
 def cci(df, ax, out, period):
     """Commodity channel index: the mean deviation is about the frame's own mean."""
-    df = df.withColumn("_tp", _typical)
+    df = df.withColumn("_tp", _typical())
     df = df.withColumns({"_l": F.collect_list("_tp").over(lookback(ax.w, period)), "_m": full_frame(F.avg("_tp"), F.col("_tp"), ax.w, period)})
     dev = F.aggregate("_l", F.lit(0.0), lambda acc, x: acc + F.abs(x - F.col("_m"))) / period
     return df.withColumn(out, F.when(dev > 0, (F.col("_tp") - F.col("_m")) / (0.015 * dev))).drop("_tp", "_l", "_m")
@@ -415,15 +432,15 @@ def cci(df, ax, out, period):
 def roc(df, ax, out, period):
     """Rate of change in percent."""
     past = F.lag("close", period).over(ax.w)
-    return df.withColumn(out, F.when(past != 0, (_close - past) / past * 100.0))
+    return df.withColumn(out, F.when(past != 0, (_close() - past) / past * 100.0))
 
 
 @indicator("momentum", period=14)
 def mfi(df, ax, out, period):
     """Money flow index; 100 without negative flow."""
-    df = df.withColumn("_tp", _typical)
+    df = df.withColumn("_tp", _typical())
     df = df.withColumn("_ch", F.col("_tp") - F.lag("_tp").over(ax.w))
-    flow, frame = F.col("_tp") * _volume, lookback(ax.w, period)
+    flow, frame = F.col("_tp") * _volume(), lookback(ax.w, period)
     df = df.withColumns({"_pf": F.when(F.col("_ch") > 0, flow).otherwise(0.0), "_nf": F.when(F.col("_ch") < 0, flow).otherwise(0.0)})
     pos, neg = F.sum("_pf").over(frame), F.sum("_nf").over(frame)
     value = F.when(neg > 0, 100.0 - 100.0 / (1.0 + pos / neg)).otherwise(100.0)
@@ -451,7 +468,7 @@ def atr_sma(df, ax, out, period, atr_period):
 @indicator("volatility", period=20)
 def stddev(df, ax, out, period):
     """Population standard deviation of closes."""
-    return df.withColumn(out, full_frame(F.stddev_pop("close"), _close, ax.w, period))
+    return df.withColumn(out, full_frame(F.stddev_pop("close"), _close(), ax.w, period))
 
 
 @indicator("volatility", period=20, std=2.0)
@@ -467,26 +484,26 @@ def bb_lower(df, ax, out, period, std):
 
 
 def _band(period: int, std: float, w: WindowSpec) -> Column:
-    return full_frame(F.avg("close"), _close, w, period) + std * full_frame(F.stddev_pop("close"), _close, w, period)
+    return full_frame(F.avg("close"), _close(), w, period) + std * full_frame(F.stddev_pop("close"), _close(), w, period)
 
 
 @indicator("volatility", period=20, std=2.0)
 def bb_width(df, ax, out, period, std):
     """Bollinger width relative to the mean."""
-    mean = full_frame(F.avg("close"), _close, ax.w, period)
+    mean = full_frame(F.avg("close"), _close(), ax.w, period)
     return df.withColumn(out, F.when(mean > 0, 2 * std * F.stddev_pop("close").over(lookback(ax.w, period)) / mean))
 
 
 @indicator("volatility", period=20)
 def donchian_upper(df, ax, out, period):
     """Highest high, the current bar included."""
-    return df.withColumn(out, full_frame(F.max("high"), _high, ax.w, period))
+    return df.withColumn(out, full_frame(F.max("high"), _high(), ax.w, period))
 
 
 @indicator("volatility", period=20)
 def donchian_lower(df, ax, out, period):
     """Lowest low, the current bar included."""
-    return df.withColumn(out, full_frame(F.min("low"), _low, ax.w, period))
+    return df.withColumn(out, full_frame(F.min("low"), _low(), ax.w, period))
 
 
 @indicator("volatility", period=20, atr_period=14, mult=2.0)
@@ -502,7 +519,7 @@ def keltner_lower(df, ax, out, period, atr_period, mult):
 
 
 def _keltner(df, ax, out, period, atr_period, mult):
-    df = atr(_ema_of(df, ax, "_em", _close, period), ax, "_at", atr_period)
+    df = atr(_ema_of(df, ax, "_em", _close(), period), ax, "_at", atr_period)
     return df.withColumn(out, F.col("_em") + mult * F.coalesce("_at", F.lit(0.0))).drop("_em", "_at")
 
 
@@ -510,7 +527,7 @@ def _keltner(df, ax, out, period, atr_period, mult):
 def histvol(df, ax, out, period, per_year):
     """Annualised population deviation of the last log returns."""
     past = F.lag("close").over(ax.w)
-    df = df.withColumn("_lr", F.when((past > 0) & (_close > 0), F.log(_close / past)))
+    df = df.withColumn("_lr", F.when((past > 0) & (_close() > 0), F.log(_close() / past)))
     return df.withColumn(out, full_frame(F.stddev_pop("_lr"), F.col("_lr"), ax.w, period) * math.sqrt(per_year)).drop("_lr")
 
 
@@ -531,21 +548,21 @@ def vol_regime(df, ax, out, atr_period, lookback):
 @indicator("volume", period=20)
 def vol_ratio(df, ax, out, period):
     """Volume over its mean."""
-    mean = full_frame(F.avg("volume"), _volume, ax.w, period)
-    return df.withColumn(out, F.when(mean > 0, _volume / mean))
+    mean = full_frame(F.avg("volume"), _volume(), ax.w, period)
+    return df.withColumn(out, F.when(mean > 0, _volume() / mean))
 
 
 @indicator("volume", period=20)
 def relative_volume(df, ax, out, period):
     """Volume over the mean of the bars so far, at most ``period`` of them."""
     mean = F.avg("volume").over(lookback(ax.w, period))
-    return df.withColumn(out, F.when(mean > 0, _volume / mean).otherwise(1.0))
+    return df.withColumn(out, F.when(mean > 0, _volume() / mean).otherwise(1.0))
 
 
 def _rolling_vwap(period: int, w: WindowSpec, flat_mean: bool) -> Column:
-    total = full_frame(F.sum("volume"), _volume, w, period)
-    weighted = F.sum(_close * _volume).over(lookback(w, period)) / total
-    flat = full_frame(F.avg("close"), _close, w, period) if flat_mean else F.lit(None)
+    total = full_frame(F.sum("volume"), _volume(), w, period)
+    weighted = F.sum(_close() * _volume()).over(lookback(w, period)) / total
+    flat = full_frame(F.avg("close"), _close(), w, period) if flat_mean else F.lit(None)
     return F.when(total > 0, weighted).when(total == 0, flat)
 
 
@@ -558,7 +575,7 @@ def vwap(df, ax, out, period):
 @indicator("volume", period=20)
 def vwap_std(df, ax, out, period):
     """Population deviation of close − VWAP, from at least three values."""
-    df = df.withColumn("_dv", _close - _rolling_vwap(period, ax.w, False))
+    df = df.withColumn("_dv", _close() - _rolling_vwap(period, ax.w, False))
     frame = lookback(ax.w, period)
     return df.withColumn(out, F.when(F.count("_dv").over(frame) > 2, F.stddev_pop("_dv").over(frame))).drop("_dv")
 
@@ -567,7 +584,7 @@ def vwap_std(df, ax, out, period):
 def vwap_zscore(df, ax, out, period):
     """Distance to the VWAP in deviations."""
     df = vwap_std(vwap(df, ax, "_vw", period), ax, "_vs", period)
-    return df.withColumn(out, F.when(F.col("_vs") > 0, (_close - F.col("_vw")) / F.col("_vs"))).drop("_vw", "_vs")
+    return df.withColumn(out, F.when(F.col("_vs") > 0, (_close() - F.col("_vw")) / F.col("_vs"))).drop("_vw", "_vs")
 
 
 @indicator("volume")
@@ -575,22 +592,22 @@ def session_vwap(df, ax, out):
     """Volume-weighted typical price since the start of the series."""
     frame = through_now(ax.w)
     total = F.sum("volume").over(frame)
-    return df.withColumn(out, F.when(total > 0, F.sum(_typical * _volume).over(frame) / total))
+    return df.withColumn(out, F.when(total > 0, F.sum(_typical() * _volume()).over(frame) / total))
 
 
 @indicator("volume")
 def obv(df, ax, out):
     """On-balance volume."""
-    df = df.withColumn("_sg", F.coalesce(F.signum(_close - F.lag("close").over(ax.w)), F.lit(0.0)) * _volume)
+    df = df.withColumn("_sg", F.coalesce(F.signum(_close() - F.lag("close").over(ax.w)), F.lit(0.0)) * _volume())
     return df.withColumn(out, F.sum("_sg").over(through_now(ax.w))).drop("_sg")
 
 
 @indicator("volume", period=20)
 def cmf(df, ax, out, period):
     """Chaikin money flow."""
-    spread = _high - _low
-    df = df.withColumn("_mf", F.when(spread > 0, (2 * _close - _low - _high) / spread).otherwise(0.0) * _volume)
-    total = full_frame(F.sum("volume"), _volume, ax.w, period)
+    spread = _high() - _low()
+    df = df.withColumn("_mf", F.when(spread > 0, (2 * _close() - _low() - _high()) / spread).otherwise(0.0) * _volume())
+    total = full_frame(F.sum("volume"), _volume(), ax.w, period)
     return df.withColumn(out, F.when(total > 0, F.sum("_mf").over(lookback(ax.w, period)) / total)).drop("_mf")
 
 
@@ -600,19 +617,19 @@ def cmf(df, ax, out, period):
 @indicator("structure", period=20)
 def swing_high(df, ax, out, period):
     """Highest high of period + 1 bars."""
-    return df.withColumn(out, full_frame(F.max("high"), _high, ax.w, period + 1))
+    return df.withColumn(out, full_frame(F.max("high"), _high(), ax.w, period + 1))
 
 
 @indicator("structure", period=20)
 def swing_low(df, ax, out, period):
     """Lowest low of period + 1 bars."""
-    return df.withColumn(out, full_frame(F.min("low"), _low, ax.w, period + 1))
+    return df.withColumn(out, full_frame(F.min("low"), _low(), ax.w, period + 1))
 
 
 @indicator("structure", period=1)
 def pivot_point(df, ax, out, period):
     """Typical price of an earlier bar."""
-    return df.withColumn(out, F.lag(_typical, period).over(ax.w))
+    return df.withColumn(out, F.lag(_typical(), period).over(ax.w))
 
 
 # ── adaptive ───────────────────────────────────────────────────────────────────────────────
@@ -622,14 +639,14 @@ def pivot_point(df, ax, out, period):
 def kama(df, ax, out, period, fast, slow):
     """Kaufman's adaptive average: the smoothing follows the efficiency of the move."""
     quick, lazy = 2.0 / (fast + 1), 2.0 / (slow + 1)
-    df = df.withColumn("_ab", F.abs(_close - F.lag("close").over(ax.w)))
+    df = df.withColumn("_ab", F.abs(_close() - F.lag("close").over(ax.w)))
     df = df.withColumns({"_path": F.sum("_ab").over(lookback(ax.w, period)), "_i": F.row_number().over(ax.w)})
-    direct = F.abs(_close - F.lag("close", period).over(ax.w))
+    direct = F.abs(_close() - F.lag("close", period).over(ax.w))
     ratio = F.when(F.col("_path") > 0, direct / F.col("_path")).otherwise(0.0)
     df = df.withColumn("_sc", F.pow(ratio * (quick - lazy) + lazy, F.lit(2.0)))
     i, sc = F.col("_i"), F.col("_sc")
     a = F.when(i == period, 0.0).when(i > period, 1 - sc)
-    b = F.when(i == period, F.avg("close").over(lookback(ax.w, period))).when(i > period, sc * _close)
+    b = F.when(i == period, F.avg("close").over(lookback(ax.w, period))).when(i > period, sc * _close())
     return affine_scan(df, {out: (a, b)}, keys=ax.keys, order=ax.order).drop("_ab", "_path", "_i", "_sc")
 
 
@@ -652,7 +669,7 @@ def adaptive_ema(df, ax, out, base_period, atr_period, min_period, max_period):
     warm = max(base_period, atr_period) + 10
     alpha, i = 2.0 / (F.col("_per") + 1), F.col("_i")
     a = F.when(i == warm, 0.0).when(i > warm, 1 - alpha)
-    b = F.when(i == warm, F.avg("close").over(lookback(ax.w, warm))).when(i > warm, alpha * _close)
+    b = F.when(i == warm, F.avg("close").over(lookback(ax.w, warm))).when(i > warm, alpha * _close())
     return affine_scan(df, {out: (a, b)}, keys=ax.keys, order=ax.order).drop("_i", "_per")
 
 
@@ -661,7 +678,7 @@ def adaptive_rsi(df, ax, out, base_period, atr_period, min_period, max_period):
     """RSI whose period shrinks as volatility ranks higher."""
     df = _adaptive_period(df, ax, base_period, atr_period, min_period, max_period, False)
     warm = max(max_period, atr_period) + 10
-    df = df.withColumn("_mv", _close - F.lag("close").over(ax.w))
+    df = df.withColumn("_mv", _close() - F.lag("close").over(ax.w))
     alpha, i, scans = 1.0 / F.col("_per"), F.col("_i"), {}
     for name, part in {"_g": F.greatest(F.col("_mv"), F.lit(0.0)), "_l": F.greatest(-F.col("_mv"), F.lit(0.0))}.items():
         start = F.sum(F.when(F.col("_mv").isNotNull(), part)).over(lookback(ax.w, warm)) / (warm - 1)
@@ -746,7 +763,7 @@ def rolling_comovement(df: DataFrame, ref: str, period: int, axis: Axis = Axis()
     """``corr`` and ``beta`` of the last price differences against the column ``ref``, from at least
     half of them. The beta divides a sample covariance by a population variance."""
     w = axis.w
-    df = df.withColumns({"_a": _close - F.lag("close").over(w), "_b": F.col(ref) - F.lag(ref).over(w), "_i": F.row_number().over(w)})
+    df = df.withColumns({"_a": _close() - F.lag("close").over(w), "_b": F.col(ref) - F.lag(ref).over(w), "_i": F.row_number().over(w)})
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     df = df.withColumns({"_x": F.when(both, F.col("_a")), "_y": F.when(both, F.col("_b"))})
     frame = lookback(w, period)
@@ -765,7 +782,7 @@ def running_flow(df: DataFrame, axis: Axis = Axis()) -> DataFrame:
     """Cumulative volume delta and net positioning from recorded flow; where a bar has no recorded
     volume split its colour decides. Needs ``oi`` for the inferred positioning (see below)."""
     w = through_now(axis.w)
-    delta = F.coalesce(F.col("buy_volume") - F.col("sell_volume"), _bar_colour() * _volume)
+    delta = F.coalesce(F.col("buy_volume") - F.col("sell_volume"), _bar_colour() * _volume())
     zero = F.lit(0.0)
     longs = F.coalesce("opens_long", zero) - F.coalesce("closes_long", zero)
     shorts = F.coalesce("opens_short", zero) - F.coalesce("closes_short", zero)
@@ -774,7 +791,7 @@ def running_flow(df: DataFrame, axis: Axis = Axis()) -> DataFrame:
 
 
 def _bar_colour() -> Column:
-    return F.signum(_close - F.col("open"))
+    return F.signum(_close() - F.col("open"))
 
 
 def inferred_positioning(df: DataFrame, oi: str = "oi", axis: Axis = Axis()) -> DataFrame:
@@ -796,12 +813,12 @@ def regime_labels(bars: DataFrame, axis: Axis = Axis(), *, vol_short: int = 14,
     label (ADX and directional indicators) of each bar; here the averages start from the first
     rows, which all share the seed."""
     w = axis.w
-    before = F.coalesce(F.lag("close").over(w), _close)
-    up = F.coalesce(_high - F.lag("high").over(w), F.lit(0.0))
-    down = F.coalesce(F.lag("low").over(w) - _low, F.lit(0.0))
+    before = F.coalesce(F.lag("close").over(w), _close())
+    up = F.coalesce(_high() - F.lag("high").over(w), F.lit(0.0))
+    down = F.coalesce(F.lag("low").over(w) - _low(), F.lit(0.0))
     df = bars.withColumns(
         {
-            "_tr": F.greatest(_high - _low, F.abs(_high - before), F.abs(_low - before)),
+            "_tr": F.greatest(_high() - _low(), F.abs(_high() - before), F.abs(_low() - before)),
             "_pdm": F.when((up > down) & (up > 0), up).otherwise(0.0),
             "_mdm": F.when((down > up) & (down > 0), down).otherwise(0.0),
             "_i": F.row_number().over(w),
@@ -859,7 +876,7 @@ def library_set(bars: DataFrame, axis: Axis = Axis(), *, length: int = 20, rsi_l
     }
     df = add(bars, named, axis)
     w = axis.w
-    move = _close - F.lag("close").over(w)
+    move = _close() - F.lag("close").over(w)
     df = df.withColumns({"_mv": move, "_tr": true_range(w), "_i": F.row_number().over(w)})
     # Wilder averages from the first value on (adjust=False), shown once ``length`` values are in
     keep, gain, k = (rsi_length - 1) / rsi_length, 1 / rsi_length, F.col("_i")
@@ -871,8 +888,8 @@ def library_set(bars: DataFrame, axis: Axis = Axis(), *, length: int = 20, rsi_l
         {
             "rsi": F.when(shown, 100 * F.col("_gs") / (F.col("_gs") + F.col("_ls"))),
             "atr": F.when(shown, F.col("_as")),
-            "_mean": full_frame(F.avg("close"), _close, w, length),
-            "_sd": full_frame(F.stddev_samp("close"), _close, w, length),
+            "_mean": full_frame(F.avg("close"), _close(), w, length),
+            "_sd": full_frame(F.stddev_samp("close"), _close(), w, length),
         }
     )
     mid, sd = F.col("_mean"), F.col("_sd")
@@ -882,8 +899,8 @@ def library_set(bars: DataFrame, axis: Axis = Axis(), *, length: int = 20, rsi_l
             "bb_mid": mid,
             "bb_upper": mid + 2 * sd,
             "bb_bandwidth": 100 * 4 * sd / mid,
-            "bb_percent": F.when(sd > 0, (_close - (mid - 2 * sd)) / (4 * sd)),
-            "zscore": F.when(sd > 0, (_close - mid) / sd),
+            "bb_percent": F.when(sd > 0, (_close() - (mid - 2 * sd)) / (4 * sd)),
+            "zscore": F.when(sd > 0, (_close() - mid) / sd),
         }
     )
     return df.drop(*[c for c in df.columns if c.startswith("_")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_EV = "epoch_ms(ts) AS ts, event_id AS seq, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS size"
+_EV = "epoch_us(ts) // 1000 AS ts, event_id AS seq, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS size"
 
 # name -> (needed names, body)
 CTES: dict[str, tuple[str, str]] = {
