@@ -191,13 +191,13 @@ _AGG_CTES = {
     string_agg(DISTINCT category, ',' ORDER BY category) FILTER ((f.score > 0) = (raw_score > 0)) AS agreeing_categories,
     CASE WHEN count(*) FILTER ((f.score > 0) = (raw_score > 0) AND category IN ('funding', 'seasonality')) >= 2 THEN 'funding'
     WHEN count(*) FILTER ((f.score > 0) = (raw_score > 0) AND category = 'volatility') >= 2 THEN 'mean_reversion' ELSE 'momentum' END AS hold_type
-    FROM fired f JOIN raw USING (symbol, ts) WHERE abs(raw_score) >= 0.1 GROUP BY 1, 2""",
+    FROM fired f JOIN raw USING (symbol, ts) WHERE abs(raw_score) >= 0.1003 GROUP BY 1, 2""",
 }
 HIT_RATES = {"cvd_momentum": 0.6, "ema_trend": 0.3}
 
 
 def opportunities(t: Tables) -> DataFrame:
-    opp = S.aggregate_signals(market_state(t), _NUMBERED, HIT_RATES)
+    opp = S.aggregate_signals(market_state(t), _NUMBERED, HIT_RATES, min_raw=0.1003)
     return opp.withColumns({c: F.array_join(c, ",") for c in ("categories", "agreeing_categories", "names")})
 
 
