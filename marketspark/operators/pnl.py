@@ -156,7 +156,9 @@ def equity_on_bars(bars: DataFrame, trades: DataFrame, *, keys: Sequence[str] =
     ruined = F.coalesce(F.min("_least").over(through_now(w)), F.lit(1.0)) <= 0
     df = df.withColumn("equity", F.when(ruined, 0.0).otherwise(initial * F.exp(F.coalesce(F.sum("_lm").over(through_now(w)), F.lit(0.0)))))
     before = F.coalesce(F.lag("equity").over(w), F.lit(initial))
-    return df.withColumn("ret", F.when(before > 0, F.col("equity") / before - 1)).drop("_lm", "_least")
+    # exactly 0 where nothing closed, whatever the rounding of the running product
+    ret = F.when(F.col("_lm").isNull() & F.col("_least").isNull(), 0.0).when(before > 0, F.col("equity") / before - 1)
+    return df.withColumn("ret", ret).drop("_lm", "_least")
 
 
 def equity_metrics(curve: DataFrame, periods: float, *, keys: Sequence[str] = ("symbol",), initial: float = 10_000.0) -> DataFrame:

@@ -64,7 +64,7 @@ def ledger_ctes(target: str = "tg", keys: str = "symbol", f: float = 0.2, lev: f
 LEDGER = {"tg": TARGET, **ledger_ctes()}
 CURVE = {
     **LEDGER,
-    "curve": f"""SELECT *, equity / coalesce(lag(equity) OVER (PARTITION BY symbol ORDER BY ts), 10000) - 1 AS ret FROM (SELECT b.symbol, b.ts, b.close, 10000 * exp(coalesce(sum(x.lm) OVER (PARTITION BY b.symbol ORDER BY b.ts), 0)) AS equity
+    "curve": f"""SELECT *, CASE WHEN lm IS NULL THEN 0 ELSE equity / coalesce(lag(equity) OVER (PARTITION BY symbol ORDER BY ts), 10000) - 1 END AS ret FROM (SELECT b.symbol, b.ts, b.close, x.lm, 10000 * exp(coalesce(sum(x.lm) OVER (PARTITION BY b.symbol ORDER BY b.ts), 0)) AS equity
     FROM bn b LEFT JOIN (SELECT symbol, exit_ts, sum(ln(multiplier)) AS lm FROM trades GROUP BY 1, 2) x ON x.symbol = b.symbol AND x.exit_ts = b.ts)""",
 }
 _TRADE_KEYS = "symbol entry_ts exit_ts side exit_reason bars_held"
@@ -151,7 +151,7 @@ GRID_CTES = {
     "gs": _GRID_SRC,
     "gt": "SELECT *, CASE WHEN fast > slow THEN 1 WHEN fast <= slow THEN -1 ELSE 0 END AS target FROM gs",
     **ledger_ctes("gt", keys="strategy, symbol"),
-    "curve": """SELECT *, equity / coalesce(lag(equity) OVER (PARTITION BY strategy, symbol ORDER BY ts), 10000) - 1 AS ret FROM (SELECT b.strategy, b.symbol, b.ts, b.close,
+    "curve": """SELECT *, CASE WHEN lm IS NULL THEN 0 ELSE equity / coalesce(lag(equity) OVER (PARTITION BY strategy, symbol ORDER BY ts), 10000) - 1 END AS ret FROM (SELECT b.strategy, b.symbol, b.ts, b.close, x.lm,
     10000 * exp(coalesce(sum(x.lm) OVER (PARTITION BY b.strategy, b.symbol ORDER BY b.ts), 0)) AS equity
     FROM gt b LEFT JOIN (SELECT strategy, symbol, exit_ts, sum(ln(multiplier)) AS lm FROM trades GROUP BY 1, 2, 3) x ON x.strategy = b.strategy AND x.symbol = b.symbol AND x.exit_ts = b.ts)""",
     "met": _EQ_SQL.format(keys="strategy, symbol"),
