@@ -62,10 +62,18 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str
     return picked.withColumns(cols).drop(*ranks)
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
-    """Ranks within each group with ties averaged, added to the rows."""
+def rank_table(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
+    """(keys, value, rank) of the distinct values, ties averaged."""
     ranged = _ranged(df, keys, value)
     upto = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     last = F.col("_below") + F.sum("_k").over(upto)
-    ranks = ranged.select(*keys, value, (last - (F.col("_k") - 1) / 2).alias(out))
-    return df.join(ranks, [*keys, value])
+    return ranged.select(*keys, value, (last - (F.col("_k") - 1) / 2).alias(out))
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """Add average-tie ranks within each group: ``{value column: rank column}``. Every rank table starts from
+    the same rows, so their common part is shuffled once."""
+    out = df
+    for value, name in values.items():
+        out = out.join(rank_table(df, keys, value, name), [*keys, value])
+    return out
