@@ -85,7 +85,7 @@ def _(t: Tables) -> DataFrame:
     "flat drifting",
     with_(
         "",
-        """SELECT order_id, l_suppkey, side * notional * n * rate AS flat, side * notional * (n * rate + 1e-7 * n * (n - 1) / 2) AS drifting FROM (SELECT *, disc / 1000 - 5e-5 AS rate, round(disc * 100 + 0.26) AS n FROM o)""",
+        """SELECT order_id, l_suppkey, side * notional * k * rate AS flat, side * notional * (k * rate + 1e-7 * k * (k - 1) / 2) AS drifting FROM (SELECT *, disc / 1000 - 5e-5 AS rate, round(disc * 100 + 0.26) AS k FROM o)""",
         o=_ORDERS_SQL,
     ),
     digits=5,
