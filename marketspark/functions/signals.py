@@ -376,7 +376,17 @@ def fired(state: DataFrame, names: list[str] | None = None, hit_rates: dict[str,
         )
 
     packed = scored.withColumn("signals", F.filter(F.array(*[item(n) for n in names]), lambda x: x["score"] != 0))
-    return packed.drop(*[f"s_{n}" for n in names], *[f"c_{n}" for n in names])
+    return _barrier(packed.drop(*[f"s_{n}" for n in names], *[f"c_{n}" for n in names]))
+
+
+def _barrier(df: DataFrame) -> DataFrame:
+    """Pass the rows through unchanged as Arrow batches. The optimiser copies the rules of all signals into every
+    filter and column that reads the array, until the plan no longer compiles; it does not look through this."""
+
+    def same(batches):
+        yield from batches
+
+    return df.mapInArrow(same, df.schema)
 
 
 def _total(signals: str, value) -> Column:

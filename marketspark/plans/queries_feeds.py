@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.functions import symbols
@@ -14,6 +14,7 @@ from marketspark.plans.registry import query
 from marketspark.plans.sqlkit import over, with_
 from marketspark.sources import readers
 from marketspark.sources.tables import Tables
+from marketspark.session import cut_lineage
 from marketspark.streaming import feeds
 
 _TAPE_VALS = "buy_volume sell_volume total_volume vwap imbalance large_buy_volume large_sell_volume volume_delta"
@@ -395,19 +396,15 @@ def _(t: Tables) -> DataFrame:
     "combined_score stop_price target_price size_pct",
 )
 def _(t: Tables) -> DataFrame:
+    # the panel feeds both timeframes: it is computed once and its long plan cut
+    panel = cut_lineage(market_state(t))
+    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
+
     def last(df: DataFrame) -> DataFrame:
-        back = F.row_number().over(state_window())
         return df.withColumn("_b", back).where("_b = 1").drop("_b")
 
-    def state_window():
-        from pyspark.sql import Window
-
-        return Window.partitionBy("symbol").orderBy(F.desc("ts"))
-
-    panel = market_state(t)
     bias = last(panel).withColumn("day_volume", F.lit(5e6))
-    entry = last(panel.where(F.col("hour") % 2 == 0))
-    return scan.scan(bias, entry, min_score=0.05, min_categories=1)
+    return scan.scan(bias, last(panel.where(F.col("hour") % 2 == 0)), min_score=0.05, min_categories=1)
 
 
 _BF_CTES = {
@@ -433,4 +430,4 @@ _BF_CTES = {
     digits=4,
 )
 def _(t: Tables) -> DataFrame:
-    return scan.backfill(market_state(t), hold=6, step=4).withColumn("combo", F.array_join("signals", ","))
+    return scan.backfill(cut_lineage(market_state(t)), hold=6, step=4).withColumn("combo", F.array_join("signals", ","))
