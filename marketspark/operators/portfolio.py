@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,14 @@ from pyspark.sql import types as T
 from marketspark.operators.series import ordered_fold, series_window, through_now
 
 
+def parameter_grid(df: DataFrame, grid: dict[str, Sequence], keep: Callable[[dict], bool] | None = None) -> DataFrame:
+    """Every row once per distinct parameter combination: the grid is a literal array that is exploded, not a join."""
+    combos = list(dict.fromkeys(product(*grid.values())))
+    wanted = [c for c in combos if keep is None or keep(dict(zip(grid, c)))]
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(grid, c)]) for c in wanted]
+    return df.withColumn("_g", F.explode(F.array(*structs))).select(*df.columns, "_g.*")
+
+
 def robustness(metrics: DataFrame, default: str) -> DataFrame:
     """Per strategy: symbols, profitable ones, mean return and Sharpe, and the Sharpe gained over ``default``."""
     per = metrics.groupBy("strategy").agg(

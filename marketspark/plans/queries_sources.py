@@ -271,3 +271,77 @@ def _(t: Tables) -> DataFrame:
     from marketspark.operators.series import day_of
 
     return asof.position_on_bars(t.bars.select("symbol", "ts"), trades_of(t).select("symbol", "entry_ts", "exit_ts", "side"), slice_by=day_of())
+
+
+@query(
+    "prj_21_asset_contexts",
+    "symbol",
+    "day_volume open_interest mark previous",
+    with_("bars", "SELECT symbol, sum(volume * close) AS day_volume, 0 AS open_interest, arg_max(close, ts) AS mark, arg_min(open, ts) AS previous FROM bars GROUP BY 1"),
+    digits=3,
+)
+def _(t: Tables) -> DataFrame:
+    # names and contexts of each region's symbols as two arrays that belong together by position
+    per = t.bars.groupBy("symbol").agg(F.sum(F.col("volume") * F.col("close")).alias("v"), F.max_by("close", "ts").alias("m"), F.min_by("open", "ts").alias("p"))
+    ctx = F.struct(F.col("v").cast("string").alias("dayNtlVlm"), F.col("m").cast("string").alias("markPx"), F.col("p").cast("string").alias("prevDayPx"))
+    rows = per.select("symbol", F.array(F.struct(F.col("symbol").alias("name"))).alias("universe"), F.array(ctx).alias("contexts"))
+    return readers.asset_contexts(rows, keys=["symbol"])
+
+
+@query(
+    "prj_23_lending_reserves",
+    "token",
+    "borrow_rate supply_rate borrowed supplied utilisation",
+    with_(
+        "type_ticks",
+        """SELECT token, b AS borrow_rate, b / 2 AS supply_rate, x AS borrowed, s AS supplied, CASE WHEN s > 0 THEN x / s ELSE 0 END AS utilisation FROM (
+        SELECT symbol AS token, arg_max(price / 1000, seq) AS b, arg_max(size, seq) AS x, arg_max(size * 2 + price, seq) AS s FROM type_ticks WHERE symbol <> 'error' GROUP BY 1)""",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    rows = t.type_ticks.select(
+        "seq",
+        F.lit(None).cast("string").alias("coin"),
+        F.when(F.col("symbol") == "error", " ").otherwise(F.col("symbol")).alias("token"),
+        (F.col("price") / 1000).alias("borrow_rate"),
+        (F.col("price") / 2000).alias("supply_rate"),
+        F.col("size").alias("borrowed"),
+        (F.col("size") * 2 + F.col("price")).alias("supplied"),
+    )
+    return readers.lending_reserves(rows)
+
+
+@query(
+    "join_13_parameter_grid",
+    "fast slow bars",
+    "mean_gap",
+    with_(
+        "bn",
+        "SELECT fast, slow, count(gap) AS bars, avg(gap) AS mean_gap FROM g GROUP BY 1, 2",
+        g=" UNION ALL ".join(f"SELECT {a} AS fast, {b} AS slow, {full('avg(close)', a)} - {full('avg(close)', b)} AS gap FROM bn" for a in (3, 5) for b in (5, 20) if a < b),
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    from marketspark.operators.portfolio import parameter_grid
+
+    wanted = {f"m{p}": ("sma", {"period": p}) for p in (3, 5, 20)}
+    df = parameter_grid(I.add(t.bars, wanted), {"fast": [3, 5, 5], "slow": [5, 20]}, keep=lambda g: g["fast"] < g["slow"])
+    means = F.create_map(*[x for p in (3, 5, 20) for x in (F.lit(p), F.col(f"m{p}"))])
+    df = df.withColumn("gap", means[F.col("fast")] - means[F.col("slow")])
+    return df.groupBy("fast", "slow").agg(F.count("gap").alias("bars"), F.avg("gap").alias("mean_gap"))
+
+
+@query(
+    "win_34_imbalance_zscore",
+    "symbol ts",
+    "z",
+    with_(
+        "book_feats",
+        f"""SELECT symbol, ts, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) >= 12 AND stddev_samp(imbalance) {over(12)} > 0 THEN (imbalance - avg(imbalance) {over(12)}) / stddev_samp(imbalance) {over(12)} END AS z FROM book_feats""",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    from marketspark.operators.bars import book_features
+    from marketspark.operators.pressure import imbalance_zscore
+
+    return imbalance_zscore(book_features(t.books), 12)

@@ -162,11 +162,13 @@ def latest(df: DataFrame, n: int, ts: str = "ts", **equal: str) -> DataFrame:
     return df.orderBy(F.desc(ts)).limit(n)
 
 
-def asset_contexts(zipped: DataFrame, universe: str = "universe", contexts: str = "contexts") -> DataFrame:
-    """One row per asset from two arrays that belong together by position; text numbers cast, missing is 0."""
-    names = zipped.select(F.posexplode(universe).alias("i", "a")).select("i", "a.*")
-    ctx = zipped.select(F.posexplode(contexts).alias("i", "c")).select("i", "c.*")
-    joined = names.join(ctx, "i", "left")
+def asset_contexts(zipped: DataFrame, universe: str = "universe", contexts: str = "contexts", keys: Sequence[str] = ()) -> DataFrame:
+    """One row per asset from two arrays that belong together by position (within ``keys``, if there are several
+    rows); text numbers cast, missing is 0."""
+    tag = [F.col(k).alias(f"_k_{k}") for k in keys]
+    names = zipped.select(*tag, F.posexplode(universe).alias("_i", "_a"))
+    ctx = zipped.select(*tag, F.posexplode(contexts).alias("_i", "_c"))
+    joined = names.join(ctx, [*[f"_k_{k}" for k in keys], "_i"], "left").select("_a.*", "_c.*")
 
     def number(name: str) -> Column:
         return F.coalesce(F.col(name).try_cast("double"), F.lit(0.0)) if name in joined.columns else F.lit(0.0)
