@@ -205,26 +205,29 @@ def linreg_slope(df, ax, out, period):
 def adx(df, ax, out, period):
     """Average directional index."""
     df = _directional(df, ax, period)
-    p, m = F.coalesce(F.col("_pdi"), F.lit(0.0)), F.coalesce(F.col("_mdi"), F.lit(0.0))
+    p, m = F.coalesce(F.col(f"_pdi_{period}"), F.lit(0.0)), F.coalesce(F.col(f"_mdi_{period}"), F.lit(0.0))
     df = df.withColumn("_i", F.row_number().over(ax.w))
     dx = F.when(F.col("_i") > period + 1, F.when(p + m > 0, 100 * F.abs(p - m) / (p + m)).otherwise(0.0))
     df = df.withColumn("_dx", dx)
-    return _wilder_of(df, ax, {out: F.col("_dx")}, period).drop("_pdi", "_mdi", "_dx", "_i")
+    return _wilder_of(df, ax, {out: F.col("_dx")}, period).drop("_dx", "_i")
 
 
 @indicator("trend", period=14)
 def plus_di(df, ax, out, period):
     """Positive directional indicator."""
-    return _directional(df, ax, period).withColumnRenamed("_pdi", out).drop("_mdi")
+    return _directional(df, ax, period).withColumn(out, F.col(f"_pdi_{period}"))
 
 
 @indicator("trend", period=14)
 def minus_di(df, ax, out, period):
     """Negative directional indicator."""
-    return _directional(df, ax, period).withColumnRenamed("_mdi", out).drop("_pdi")
+    return _directional(df, ax, period).withColumn(out, F.col(f"_mdi_{period}"))
 
 
 def _directional(df: DataFrame, ax: Axis, period: int) -> DataFrame:
+    """``_pdi_<period>`` and ``_mdi_<period>``, computed once for all indicators of one ``add`` that read them."""
+    if f"_pdi_{period}" in df.columns:
+        return df
     w = ax.w
     up, down = _high() - F.lag("high").over(w), F.lag("low").over(w) - _low()
     df = df.withColumns({"_tr": true_range(w), "_up": up, "_dn": down})
@@ -237,9 +240,8 @@ def _directional(df: DataFrame, ax: Axis, period: int) -> DataFrame:
     }
     df = _wilder_of(df, ax, moves, period, total=True)
     positive = F.col("_tr_s") > 0
-    df = df.withColumns(
-        {"_pdi": F.when(positive, 100 * F.col("_pdm_s") / F.col("_tr_s")), "_mdi": F.when(positive, 100 * F.col("_mdm_s") / F.col("_tr_s"))}
-    )
+    sides = {f"_pdi_{period}": "_pdm_s", f"_mdi_{period}": "_mdm_s"}
+    df = df.withColumns({n: F.when(positive, 100 * F.col(s) / F.col("_tr_s")) for n, s in sides.items()})
     return df.drop("_tr", "_up", "_dn", "_tr_s", "_pdm_s", "_mdm_s")
 
 

@@ -14,6 +14,8 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
         .appName("marketspark")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # as many shuffle partitions as cores: merging them would leave cores idle on small tables
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
