@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketspark.llm import mixing, sharding
+from marketspark.llm import decontaminate, langid, mixing, quality, sharding, simhash
 from marketspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,25 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
+@query("op3_quality")
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = quality.scored(docs, quality.learned(docs, table(spark, sf_dir, "labels")))
+    score = F.col("quality_score")
+    return scores.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= quality.KEEP).cast("int").alias("predicted"))
+
+
+@query("op4_decontamination")
+def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_tiles", "matched_words", "item_words", "coverage")
+
+
+@query("op5_language_id")
+def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 @query("op6_mixing")
 def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -32,3 +52,9 @@ def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_hilbert_sharding")
 def _sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"))
+
+
+@query("op9_simhash")
+def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
