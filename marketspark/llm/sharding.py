@@ -15,6 +15,8 @@ input, which are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,24 +57,36 @@ def hilbert_index(coordinates: list[Column], bits: int = BITS) -> Column:
 
         return F.aggregate(axes, x, step)
 
-    turned = F.aggregate(F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)]), point, turn)
-    # Gray coding along the axes, then the correction by the last axis
-    gray = F.aggregate(
-        axes,
-        F.array().cast("array<long>"),
-        lambda acc, i: F.concat(acc, F.array(F.when(i == 0, F.get(turned, i)).otherwise(F.get(turned, i).bitwiseXOR(F.get(acc, i - 1))))),
-    )
-    fix = F.aggregate(
-        F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)]),
-        F.lit(0).cast("long"),
-        lambda acc, bit: F.when(F.get(gray, F.lit(dims - 1)).bitwiseAND(bit) != 0, acc.bitwiseXOR(bit - 1)).otherwise(acc),
-    )
+    bit_values = F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)])
     levels = F.array(*[F.lit(b) for b in range(bits - 1, -1, -1)])
-    return F.aggregate(
-        levels,
-        F.lit(0).cast("long"),
-        lambda acc, b: F.aggregate(gray, acc, lambda a, g: a * 2 + F.call_function("shiftright", g.bitwiseXOR(fix), b).bitwiseAND(F.lit(1))),
-    )
+
+    def gray_coded(turned: Column) -> Column:
+        # each axis takes on the bits of those before it
+        return F.aggregate(
+            axes,
+            F.array().cast("array<long>"),
+            lambda acc, i: F.concat(acc, F.array(F.when(i == 0, F.get(turned, i)).otherwise(F.get(turned, i).bitwiseXOR(F.get(acc, i - 1))))),
+        )
+
+    def corrected(gray: Column) -> Column:
+        last = F.get(gray, F.lit(dims - 1))
+        fix = F.aggregate(bit_values, F.lit(0).cast("long"), lambda acc, bit: F.when(last.bitwiseAND(bit) != 0, acc.bitwiseXOR(bit - 1)).otherwise(acc))
+        return _once(fix, lambda f: F.transform(gray, lambda g: g.bitwiseXOR(f)))
+
+    def interleaved(axes_bits: Column) -> Column:
+        return F.aggregate(
+            levels,
+            F.lit(0).cast("long"),
+            lambda acc, b: F.aggregate(axes_bits, acc, lambda a, g: a * 2 + F.call_function("shiftright", g, b).bitwiseAND(F.lit(1))),
+        )
+
+    turned = F.aggregate(bit_values, point, turn)
+    return _once(turned, lambda t: _once(gray_coded(t), lambda g: _once(corrected(g), interleaved)))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def category_codes(df: DataFrame, column: str, bits: int = BITS) -> DataFrame:
