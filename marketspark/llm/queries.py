@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import decontaminate, langid, mixing, quality, sharding, simhash
+from marketspark.llm import decontaminate, html, langid, mixing, quality, sharding, simhash, substring
 from marketspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,17 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
+@query("op1_substring_dedup")
+def _substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op2_html_extraction")
+def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 @query("op3_quality")
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
