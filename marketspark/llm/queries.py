@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import decontaminate, html, langid, mixing, quality, sharding, simhash, substring
+from marketspark.llm import decontaminate, html, langid, mixing, neighbours, pii, quality, sharding, simhash, substring
 from marketspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,13 @@ def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
+@query("op7_pii")
+def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.sha2(F.encode(pii.written(F.col("base")), "UTF-8"), 256)
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], base.alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 @query("op8_hilbert_sharding")
 def _sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"))
@@ -69,3 +76,8 @@ def _sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op10_nn_descent")
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
