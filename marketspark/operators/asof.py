@@ -36,11 +36,11 @@ def asof_join(
     key_names = list(keys) or ["_one"]
     hit = F.struct(F.col(ts).alias("_t"), *[F.col(v).alias(v) for v in values])
     right_rank, left_rank = (1, 0) if strict else (0, 1)
-    tie_of = F.col(tie).cast("string") if tie else F.lit("")
+    tie_of = F.col(tie) if tie else F.lit(0)
     r = right.select(*keys, F.col(ts).alias("_at"), (slice_by * sign).alias("_sl"), hit.alias("_val"), tie_of.alias("_tie"), F.lit(right_rank).alias("_rank"))
     dropped = [v for v in values if v in left.columns]
     base = left.drop(*dropped)
-    l = base.withColumns({"_at": F.col(ts), "_sl": slice_by * sign, "_tie": F.lit(""), "_rank": F.lit(left_rank)})
+    l = base.withColumns({"_at": F.col(ts), "_sl": slice_by * sign, "_tie": F.lit(None), "_rank": F.lit(left_rank)})
     both = l.unionByName(r, allowMissingColumns=True).withColumn("_at", F.col("_at") * sign)
     if not keys:
         both = both.withColumn("_one", F.lit(0))

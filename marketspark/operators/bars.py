@@ -18,17 +18,26 @@ def _sum_if(value: str, cond: Column) -> Column:
     return F.sum(F.when(cond, F.col(value)).otherwise(0.0))
 
 
+def moment(ts: str = "ts", seq: str = "seq") -> Column:
+    """Time and order number (a whole number of at most 25 digits, not negative) as one number.
+
+    ``min_by``/``max_by`` over a struct would need a sort of all rows before and after the
+    shuffle, over a number they are a hash aggregation.
+    """
+    return F.col(ts).cast("decimal(13,0)").cast("decimal(38,0)") * F.lit(10**12).cast("decimal(13,0)") * F.lit(10**13).cast("decimal(14,0)") + F.coalesce(F.col(seq).cast("decimal(25,0)"), F.lit(0))
+
+
 def _first(value: str, *order: str) -> Column:
-    return F.min_by(value, F.struct(*order))
+    return F.min_by(value, moment(*order) if len(order) > 1 else order[0])
 
 
 def _last(value: str, *order: str) -> Column:
-    return F.max_by(value, F.struct(*order))
+    return F.max_by(value, moment(*order) if len(order) > 1 else order[0])
 
 
 def bars_from_fills(fills: DataFrame, tf: str) -> DataFrame:
     """Fills → bars with order flow. Only taker fills count, since both sides of a trade are
-    recorded. ``seq`` orders fills of the same millisecond."""
+    recorded. ``seq`` orders fills of the same millisecond (see ``moment``)."""
     opens, longs = F.col("is_open"), F.col("is_long")
     buys = opens == longs
     out = (

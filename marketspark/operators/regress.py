@@ -74,49 +74,49 @@ def newey_west_lag(n: Column) -> Column:
     return F.floor(4.0 * F.pow(n / 100.0, F.lit(2 / 9)))
 
 
-def ols_newey_west(df: DataFrame, y: str, xs: Sequence[str], *, keys: Sequence[str], order: Sequence[str] = ("ts",), most: int = 12) -> DataFrame:
+def ols_newey_west(df: DataFrame, y: str, xs: Sequence[str], *, keys: Sequence[str], order: Sequence[str] = ("ts",)) -> DataFrame:
     """OLS with Newey–West (Bartlett) standard errors: per key ``coef, se, tstat, pvalue`` arrays, ``r2, lag``.
 
-    The lag grows with n; ``most`` bounds the lags computed and a series that needs more is an error.
+    The lag L grows with n and has no bound here: with B the sum of the last L + 1 scores (scores
+    outside the series count as zero), the Bartlett-weighted moment is ΣBB′/(L + 1). B is the
+    difference of two running sums, so a row meets one other row, whatever L is.
     """
     k = len(xs) + 1
     names = list(keys)
     fit = ols(df, y, xs, keys=keys)
     valid = df.where(" and ".join(f"{c} is not null" for c in [y, *xs]))
-    resid = residuals(valid, fit, y, xs, keys=keys)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    scores = {f"_s{i}": t * F.col("resid") for i, t in enumerate(_terms(xs))}
-    resid = resid.where("resid is not null").withColumns(scores)
-    lagged = resid.withColumns({f"_s{i}_{lag}": F.lag(f"_s{i}", lag).over(w) for i in range(k) for lag in range(1, most + 1)})
-
-    def cross(lag: int) -> list[Column]:
-        other = (lambda j: f"_s{j}") if lag == 0 else (lambda j: f"_s{j}_{lag}")
-        return [F.coalesce(F.sum(F.col(f"_s{i}") * F.col(other(j))), F.lit(0.0)) for i in range(k) for j in range(k)]
-
-    meat = lagged.groupBy(*keys).agg(*[F.array(*cross(lag)).alias(f"_g{lag}") for lag in range(most + 1)])
+    resid = residuals(valid, fit, y, xs, keys=keys).where("resid is not null")
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = [F.sum(t * F.col("resid")).over(running) for t in _terms(xs)]
+    at = resid.select(*names, F.row_number().over(ordered).alias("_t"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"), F.array(*sums).alias("_p"))
+    lag = newey_west_lag(F.col("_n")).cast("int")
+    at = at.withColumn("_lag", lag)
+    # the sum before row t is subtracted from that at row t + L, or from the last one near the end
+    ends = at.where(F.col("_t") > F.col("_lag")).select(*names, (F.col("_t") - F.col("_lag") - 1).alias("_t"), F.col("_p").alias("_ahead"))
+    whole = at.where(F.col("_t") == F.col("_n")).select(*names, F.col("_p").alias("_last"))
+    zero = F.array(*[F.lit(0.0)] * k)
+    # rows 1 .. n - L - 1 have an end ahead, the L rows before the last one meet the last sum
+    inner = at.select(*names, "_t", F.col("_p").alias("_before")).join(ends, [*names, "_t"]).select(*names, "_before", "_ahead")
+    tail = at.where((F.col("_t") >= F.col("_n") - F.col("_lag")) & (F.col("_t") < F.col("_n"))).join(whole, names).select(*names, F.col("_p").alias("_before"), F.col("_last").alias("_ahead"))
+    # the first L + 1 rows have nothing before them
+    head = at.where(F.col("_t") <= F.col("_lag") + 1).select(*names, zero.alias("_before"), F.col("_p").alias("_ahead"))
+    blocks = inner.unionByName(tail).unionByName(head)
+    b = [F.col("_ahead")[i] - F.col("_before")[i] for i in range(k)]
+    meat = blocks.groupBy(*keys).agg(F.array(*[F.sum(b[i] * b[j]) for i in range(k) for j in range(k)]).alias("meat"))
     types = dict(df.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ses = []
-            for row in pdf.itertuples(index=False):
-                n = row.n
-                lag = int(math.floor(4.0 * (n / 100.0) ** (2 / 9)))
-                if lag > most:
-                    raise ValueError(f"{n} rows need {lag} lags; raise most above {most}")
-                gammas = [np.array(pdf_g, dtype=float).reshape(k, k) for pdf_g in row[-(most + 1) :]]
-                s = gammas[0]
-                for j in range(1, lag + 1):
-                    s = s + (1 - j / (lag + 1)) * (gammas[j] + gammas[j].T)
-                inv = np.array(row.inv, dtype=float).reshape(k, k)
+            for inv, s, lags in zip(pdf["inv"], pdf["meat"], pdf["lag"]):
+                inv, s = np.array(inv, dtype=float).reshape(k, k), np.array(s, dtype=float).reshape(k, k) / (lags + 1)
                 ses.append(np.sqrt(np.maximum(np.diag(inv @ s @ inv), 0)).tolist())
-            yield pdf[[*names, "n", "coef", "r2"]].assign(se=ses)
+            yield pdf[[*names, "n", "coef", "r2", "lag"]].assign(se=ses)
 
-    gs = [f"_g{lag}" for lag in range(most + 1)]
-    joined = fit.join(meat.withColumnsRenamed({g: g[1:] for g in gs}), names).select(*names, "n", "coef", "inv", "r2", *[g[1:] for g in gs])
-    schema = ", ".join(f"{c} {types[c]}" for c in names) + ", n long, coef array<double>, r2 double, se array<double>"
-    out = joined.mapInPandas(run, schema)
-    return _significance(out.withColumn("lag", newey_west_lag(F.col("n")).cast("int")), k)
+    joined = fit.withColumn("lag", newey_west_lag(F.col("n")).cast("int")).join(meat, names).select(*names, "n", "coef", "inv", "r2", "lag", "meat")
+    schema = ", ".join(f"{c} {types[c]}" for c in names) + ", n long, coef array<double>, r2 double, lag int, se array<double>"
+    return _significance(joined.mapInPandas(run, schema), k)
 
 
 def _significance(out: DataFrame, k: int) -> DataFrame:

@@ -25,25 +25,27 @@ from marketspark.operators.series import series_window
 EULER_MASCHERONI = 0.5772156649015329  # fixed value
 
 
-def block_length(returns: DataFrame, *, keys: Sequence[str] = ("symbol",), ret: str = "ret", most: int = 40) -> DataFrame:
-    """Mean block length from the first lag whose autocorrelation is insignificant."""
-    w = series_window(keys)
-    mean = F.avg(ret).over(Window.partitionBy(*keys))
-    df = returns.where(F.col(ret).isNotNull()).withColumn("_x", F.col(ret) - mean)
-    df = df.withColumns({f"_l{k}": F.lag("_x", k).over(w) for k in range(1, most + 1)})
-    agg = df.groupBy(*keys).agg(
-        F.count("_x").alias("n"), F.sum(F.col("_x") * F.col("_x")).alias("_v"), *[F.sum(F.col("_x") * F.col(f"_l{k}")).alias(f"_c{k}") for k in range(1, most + 1)]
-    )
+def block_length(returns: DataFrame, *, keys: Sequence[str] = ("symbol",), ret: str = "ret") -> DataFrame:
+    """Mean block length from the first lag whose autocorrelation is insignificant.
+
+    Lags go up to min(n - 1, ⌊10·log10 n⌋) of each series. A row meets its own trailing values in an
+    array of that many; products are summed by (key, lag) before they are shuffled.
+    """
+    whole = Window.partitionBy(*keys)
+    df = returns.where(F.col(ret).isNotNull()).withColumn("n", F.count(ret).over(whole)).withColumn("_x", F.col(ret) - F.avg(ret).over(whole))
     n = F.col("n")
-    last = F.least(n - 1, F.floor(10 * F.log10(n)), F.lit(most))
-    first = F.lit(None).cast("int")
-    for k in reversed(range(1, most + 1)):
-        quiet = F.abs(F.col(f"_c{k}")) < 1.96 / F.sqrt(n) * F.col("_v")
-        first = F.when(quiet & (last >= k), k).otherwise(first)
-    m = F.coalesce(first, last)
+    last = F.least(n - 1, F.floor(10 * F.log10(n))).cast("int")
+    # no series of fewer than 10**19 rows has more lags than this
+    trailing = F.collect_list("_x").over(series_window(keys).rowsBetween(-189, 0))
+    # position 0 is the row itself
+    lagged = df.withColumn("_t", F.reverse(trailing)).select(*keys, "n", "_x", F.posexplode(F.slice("_t", 1, last + 1)).alias("_lag", "_y"))
+    sums = lagged.groupBy(*keys, "n", "_lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("_c"))
+    by_lag = sums.groupBy(*keys, "n").agg(F.max(F.when(F.col("_lag") == 0, F.col("_c"))).alias("_v"), F.array_sort(F.collect_list(F.when(F.col("_lag") > 0, F.struct("_lag", "_c")))).alias("_cs"))
+    quiet = F.filter("_cs", lambda c: F.abs(c["_c"]) < 1.96 / F.sqrt(n) * F.col("_v"))
+    m = F.coalesce(F.get(quiet, F.lit(0))["_lag"], last)
     size = F.ceil(F.pow(2.0 * m, F.lit(1 / 3)) * F.pow(n.cast("double"), F.lit(1 / 3)))
     capped = F.greatest(F.lit(2), F.least(size, F.greatest(F.lit(2), F.floor(n / 4))))
-    return agg.select(*keys, "n", F.when(F.col("_v") > 0, capped).otherwise(2).cast("int").alias("block"))
+    return by_lag.select(*keys, "n", F.when(F.col("_v") > 0, capped).otherwise(2).cast("int").alias("block"))
 
 
 def draw_indices(rng: np.random.Generator, n: int, times: int, block: float) -> np.ndarray:

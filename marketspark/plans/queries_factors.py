@@ -69,7 +69,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("reg_01_newey_west", "symbol n lag", "alpha se_alpha t_mkt p_mkt t_smb p_smb")
 def _(t: Tables) -> DataFrame:
-    fit = regress.ols_newey_west(_joined(t).select("symbol", "ts", "ret", "mkt", "smb"), "ret", ["mkt", "smb"], keys=["symbol"], most=6)
+    fit = regress.ols_newey_west(_joined(t).select("symbol", "ts", "ret", "mkt", "smb"), "ret", ["mkt", "smb"], keys=["symbol"])
     return fit.withColumns(
         {"alpha": F.col("coef")[0], "se_alpha": F.col("se")[0], "t_mkt": F.col("tstat")[1], "p_mkt": F.col("pvalue")[1], "t_smb": F.col("tstat")[2], "p_smb": F.col("pvalue")[2]}
     )

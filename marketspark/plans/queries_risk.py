@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketspark.operators import asof, cost, metrics, panel, portfolio, risk
 from marketspark.plans.queries_pnl import GRID, GRID_CTES, LEDGER, METRICS_SQL, RUN_KEYS, CURVE, curve_of, grid_curve, grid_metrics, trades_of
+from marketspark.operators.bars import moment
 from marketspark.plans.registry import query
 from marketspark.plans.sqlkit import lag, over, with_
 from marketspark.sources.tables import Tables
@@ -141,7 +142,7 @@ _SHORT = "filled unfilled avg_fill timing_usd opportunity_usd commission_usd tot
 def _(t: Tables) -> DataFrame:
     d = t.deals
     orders = d.groupBy("order_id").agg(
-        F.min_by("price", F.struct("ts", "seq")).alias("decision_price"), F.max_by("price", F.struct("ts", "seq")).alias("final_mid"), (F.sum("size") * 1.1).alias("intended_size")
+        F.min_by("price", moment()).alias("decision_price"), F.max_by("price", moment()).alias("final_mid"), (F.sum("size") * 1.1).alias("intended_size")
     )
     orders = orders.withColumn("side", F.when(F.col("order_id") % 2 == 0, "buy").otherwise("sell"))
     return cost.implementation_shortfall(orders, d.where("crossed"))

@@ -125,7 +125,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("src_14_recent_log", "seq symbol ts", "price", with_("type_ticks", "SELECT * FROM type_ticks WHERE symbol = 'error' ORDER BY ts DESC, seq DESC LIMIT 25"))
 def _(t: Tables) -> DataFrame:
-    return readers.latest(t.type_ticks, 25, symbol="error")
+    return readers.latest(t.type_ticks, 25, ties=["seq"], symbol="error")
 
 
 @query(

@@ -14,36 +14,31 @@ from marketspark.plans.registry import query
 from marketspark.plans.sqlkit import lag, over, with_
 from marketspark.sources.tables import Tables
 
-_LAGS = 24
-_ACF = ", ".join(f"sum(x * l{k}) AS c{k}" for k in range(1, _LAGS + 1))
-_LAGGED = ", ".join(f"lag(x, {k}) OVER (PARTITION BY symbol ORDER BY ts) AS l{k}" for k in range(1, _LAGS + 1))
-_FIRST = "CASE " + " ".join(f"WHEN abs(c{k}) < 1.96 / sqrt(n) * v AND k >= {k} THEN {k}" for k in range(1, _LAGS + 1)) + " ELSE k END"
-
-
 @query(
     "sta_01_block_length",
     "symbol n block",
     "",
     with_(
         "strategies",
-        f"""SELECT symbol, n, CAST(greatest(2, least(ceil(pow(2.0 * m, 1.0::DOUBLE / 3) * pow(n, 1.0::DOUBLE / 3)), greatest(2, n // 4))) AS INT) AS block FROM (SELECT *, {_FIRST} AS m FROM (SELECT *, least(n - 1, floor(10 * log10(n))) AS k FROM a))""",
-        x="SELECT *, ret - avg(ret) OVER (PARTITION BY symbol) AS x FROM strategies",
-        l=f"SELECT *, {_LAGGED} FROM x",
-        a=f"SELECT symbol, count(*) AS n, sum(x * x) AS v, {_ACF} FROM l GROUP BY 1",
+        """SELECT symbol, n, CAST(greatest(2, least(ceil(pow(2.0 * m, 1.0::DOUBLE / 3) * pow(n, 1.0::DOUBLE / 3)), greatest(2, n // 4))) AS INT) AS block
+        FROM (SELECT symbol, n, coalesce(min(CASE WHEN abs(c) < 1.96 / sqrt(n) * v THEN k END), any_value(most)) AS m FROM c GROUP BY 1, 2)""",
+        x="SELECT *, ret - avg(ret) OVER (PARTITION BY symbol) AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM strategies",
+        c="""SELECT a.symbol, a.n, t.k, least(a.n - 1, floor(10 * log10(a.n))) AS most, sum(a.x * b.x) AS c, (SELECT sum(x * x) FROM x WHERE x.symbol = a.symbol) AS v
+        FROM x AS a, range(1, 190) AS t(k), x AS b WHERE t.k <= least(a.n - 1, floor(10 * log10(a.n))) AND b.symbol = a.symbol AND b.rn = a.rn - t.k GROUP BY a.symbol, a.n, t.k""",
     ),
 )
 def _(t: Tables) -> DataFrame:
-    return stats.block_length(t.strategies, most=_LAGS + 1)
+    return stats.block_length(t.strategies)
 
 
 @query("sta_02_stationary_bootstrap", "symbol draw", "annual_return annual_vol sharpe sortino max_drawdown")
 def _(t: Tables) -> DataFrame:
-    return stats.bootstrap_metrics(t.strategies, 52.0, times=200)
+    return stats.bootstrap_metrics(t.strategies, 52.0)
 
 
 @query("sta_03_confidence_intervals", "symbol", "annual_return_lo annual_return_hi annual_vol_lo annual_vol_hi sharpe_lo sharpe_hi sortino_lo sortino_hi max_drawdown_lo max_drawdown_hi")
 def _(t: Tables) -> DataFrame:
-    draws = stats.bootstrap_metrics(t.strategies, 52.0, times=1000)
+    draws = stats.bootstrap_metrics(t.strategies, 52.0)
     return stats.intervals(draws, ["annual_return", "annual_vol", "sharpe", "sortino", "max_drawdown"])
 
 
@@ -97,10 +92,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("sta_06_reality_check", "best strategies observations", "best_mean p_value")
 def _(t: Tables) -> DataFrame:
-    return stats.reality_check(t.strategies.withColumnRenamed("symbol", "strategy"), times=500)
+    return stats.reality_check(t.strategies.withColumnRenamed("symbol", "strategy"))
 
 
-_FOLDED = "SELECT *, ts AS t0, ts + 7257600000 AS t1, CAST((SELECT count(*) FROM range(1, 5) AS b(i) WHERE i * n // 5 <= rn - 1) AS INT) AS fold FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM panel)"
 _FOLDS5 = "CASE " + " ".join(f"WHEN rn - 1 < {i + 1} * n // 5 THEN {i}" for i in range(5)) + " END"
 _FOLDED = f"SELECT *, ts AS t0, ts + 7257600000 AS t1, {_FOLDS5} AS fold FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM panel)"
 
@@ -117,7 +111,7 @@ def _purge_sql(splits: str) -> str:
         f=_FOLDED,
         s=splits,
         h="SELECT symbol, split, ids, min(t0) AS lo, max(t1) AS hi, any_value(sp) AS span FROM (SELECT f.*, s.split, s.ids, max(t0) OVER (PARTITION BY symbol) - min(t0) OVER (PARTITION BY symbol) AS sp FROM f, s) WHERE list_contains(ids, fold) GROUP BY 1, 2, 3",
-    ).replace("any_value(sp)", "any_value(sp)")
+    )
 
 
 _ONE = " UNION ALL ".join(f"SELECT '{i}' AS split, [{i}] AS ids" for i in range(5))

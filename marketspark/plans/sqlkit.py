@@ -17,7 +17,7 @@ CTES: dict[str, tuple[str, str]] = {
     "deals": (
         "",
         """SELECT 'S' || l_suppkey AS symbol, epoch_ms(l_shipdate) AS ts,
-        row(l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS seq,
+        l_orderkey::HUGEINT * 100000000000 + l_linenumber::HUGEINT * 10000000000 + CAST(round(l_extendedprice * 100) AS HUGEINT) AS seq,
         100 + l_extendedprice / 2000 AS price, l_quantity AS size,
         CASE WHEN (l_linestatus = 'O') = (l_returnflag <> 'R') THEN 'B' ELSE 'A' END AS side,
         l_linestatus = 'O' AS is_open, l_returnflag <> 'R' AS is_long, l_linenumber <= 6 AS crossed,

@@ -155,11 +155,11 @@ def available_fields(present: DataFrame) -> DataFrame:
     return exploded.groupBy("symbol").agg(F.array_sort(F.collect_set("field")).alias("fields"))
 
 
-def latest(df: DataFrame, n: int, ts: str = "ts", **equal: str) -> DataFrame:
-    """Last ``n`` rows, newest first, with equality filters (logs, histories)."""
+def latest(df: DataFrame, n: int, ts: str = "ts", ties: Sequence[str] = (), **equal: str) -> DataFrame:
+    """Last ``n`` rows, newest first, with equality filters (logs, histories); rows of the same time by ``ties``, largest first."""
     for column, value in equal.items():
         df = df.where(F.col(column) == value)
-    return df.orderBy(F.desc(ts)).limit(n)
+    return df.orderBy(F.desc(ts), *[F.desc(c) for c in ties]).limit(n)
 
 
 def asset_contexts(zipped: DataFrame, universe: str = "universe", contexts: str = "contexts", keys: Sequence[str] = ()) -> DataFrame:

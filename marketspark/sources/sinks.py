@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketspark.functions.timefn import bucket, interval_ms
 from marketspark.operators.bars import bars_from_fills, upsert
+from marketspark.session import cut_lineage
 
 
 def _day(ts: str = "ts") -> Column:
-    return F.date_format(F.timestamp_millis(ts), "yyyy-MM-dd")
+    return F.to_date(F.timestamp_millis(ts))
 
 
 def write_daily(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
@@ -20,21 +22,74 @@ def write_daily(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
     out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "date").format(fmt).save(path)
 
 
-def merge_daily(existing: DataFrame, incoming: DataFrame, path: str, keep: str = "last") -> None:
-    """Upsert into a table partitioned by symbol and day. Only touched days are read and rewritten."""
-    touched = incoming.select("symbol", _day().alias("date")).distinct()
-    old = existing.withColumn("date", _day()).join(touched, ["symbol", "date"], "left_semi").drop("date")
-    write_daily(upsert(old, incoming, keep=keep), path)
+def touched_part(stored: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows of a table partitioned by symbol and date that lie in ``days`` (symbol, date).
+
+    The first and last day cut the scan to those folders, the join to the very (symbol, date) pairs.
+    """
+    span = days.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    return stored.where(F.col("date").between(F.lit(span["a"]), F.lit(span["b"]))).join(days, ["symbol", "date"], "left_semi")
+
+
+def read_daily(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path`` with its partition columns; None where there is none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.parquet(path).withColumn("symbol", F.col("symbol").cast("string"))
+
+
+def merge_daily(existing: DataFrame | None, incoming: DataFrame, path: str, keep: str = "last", keys: tuple[str, ...] = ("symbol", "ts")) -> None:
+    """Upsert into a table partitioned by symbol and day. Only touched days are read and rewritten.
+
+    ``existing`` is the table as read from ``path`` (with its partition column ``date``), or None. The
+    merged days are checkpointed before they replace the files they were read from.
+    """
+    if existing is not None:
+        days = incoming.select("symbol", _day().alias("date")).distinct()
+        incoming = cut_lineage(upsert(touched_part(existing, days).drop("date"), incoming, keys=keys, keep=keep))
+    write_daily(incoming, path)
+
+
+def merged_rows(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of both; a row that is in both counts once, rows alike inside one of them stay as many."""
+    columns = old.columns
+
+    def numbered(df: DataFrame) -> DataFrame:
+        hashed = df.select(*columns).withColumn("_h", F.xxhash64(*columns))
+        return hashed.withColumn("_copy", F.row_number().over(Window.partitionBy("_h", *columns).orderBy("_h")))
+
+    return numbered(old).unionByName(numbered(new)).dropDuplicates([*columns, "_copy"]).drop("_h", "_copy")
 
 
 def ingest_fills(lines: DataFrame, fills_path: str, bars_path: str, tf: str, symbols: Sequence[str] | None = None) -> None:
-    """JSON lines → daily fills and bars: one job per table, safe to run again for the same days."""
+    """JSON lines → daily fills and bars, also when a later file brings more fills of stored days.
+
+    Fills are merged with the stored ones of the touched days (the same fill counts once, so a file
+    may come again). Every bar that a touched day has a part in is built anew from all stored fills of
+    its whole bucket, which may reach over several days.
+    """
     from marketspark.sources.readers import parse_fill_lines
 
-    fills = parse_fill_lines(lines, symbols)
+    spark = lines.sparkSession
+    fills = cut_lineage(parse_fill_lines(lines, symbols))
+    days = fills.select("symbol", _day().alias("date")).distinct()
+    if days.isEmpty():
+        return
+    stored = read_daily(spark, fills_path)
+    if stored is not None:
+        fills = cut_lineage(merged_rows(touched_part(stored, days).select(*fills.columns), fills))
     write_daily(fills, fills_path)
-    order = F.struct("price", "size", "side", "dir", "closed_pnl", "fee", "start_position")
-    write_daily(bars_from_fills(fills.withColumn("seq", order), tf).withColumn("tf", F.lit(tf)), bars_path)
+    # days of the buckets touched: from each bucket's start to the last millisecond before the next
+    start = bucket("ts", tf)
+    buckets = fills.join(days, [fills["symbol"] == days["symbol"], _day() == days["date"]], "left_semi").select("symbol", start.alias("bar_ts")).distinct()
+    end = F.col("bar_ts") + interval_ms(tf) - 1
+    reach = buckets.select("symbol", F.explode(F.sequence(F.to_date(F.timestamp_millis("bar_ts")), F.to_date(F.timestamp_millis(end)))).alias("date")).distinct()
+    whole = touched_part(read_daily(spark, fills_path), reach).drop("date").withColumn("bar_ts", start).join(buckets, ["symbol", "bar_ts"], "left_semi").drop("bar_ts")
+    # fills of one millisecond have no order of their own: by price, in units of 1e-8
+    seq = F.round(F.col("price") * 1e8).cast("decimal(25,0)")
+    bars = bars_from_fills(whole.withColumn("seq", seq), tf).withColumn("tf", F.lit(tf))
+    merge_daily(read_daily(spark, bars_path), bars, bars_path, keys=("symbol", "tf", "ts"))
 
 
 AUDIT_FEE = 0.001  # fixed value

@@ -78,9 +78,14 @@ class Tables:
         return li.select(
             F.concat(F.lit("S"), "l_suppkey").alias("symbol"),
             _ms("l_shipdate").alias("ts"),
-            F.struct(
-                "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"
-            ).alias("seq"),
+            # order key, line number, price in cents: rows that still tie have the same price
+            (
+                F.col("l_orderkey").cast("decimal(14,0)") * F.lit(10**11).cast("decimal(12,0)")
+                + F.col("l_linenumber").cast("decimal(1,0)") * F.lit(10**10).cast("decimal(11,0)")
+                + F.round(F.col("l_extendedprice") * 100).cast("decimal(10,0)")
+            )
+            .cast("decimal(25,0)")
+            .alias("seq"),
             price.alias("price"),
             F.col("l_quantity").alias("size"),
             F.when(opens == longs, "B").otherwise("A").alias("side"),

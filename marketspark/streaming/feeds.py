@@ -7,8 +7,8 @@ Streams carry ``time`` (timestamp) next to ``ts`` (epoch ms).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marketspark.functions.timefn import HOUR_MS
 from marketspark.operators.flow import LARGE_FLOOR, LARGE_MULTIPLE, depth_of, quote_columns, tape_columns
+from marketspark.session import shared_folder
 
 
 def _windowed(stream: DataFrame, tf: str, delay: str):
@@ -136,9 +137,5 @@ def late_rows(query: StreamingQuery) -> int:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder for tables and checkpoints of a stream, in the shared folder of the cluster where one is named."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/stream-{uuid.uuid4()}" if shared else str(Path(tempfile.mkdtemp(prefix="spark-stream-")))
+    """A new folder for tables and checkpoints of a stream, in the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
