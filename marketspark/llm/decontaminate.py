@@ -205,5 +205,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE,
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> DataFrame:
     """Rows of ``docs`` that cover no benchmark item."""
     bad = contaminated(docs, benchmark, least).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    own = docs.withColumn("_text_hash", F.xxhash64("text"))
-    return own.join(bad, own["doc_id"].eqNullSafe(bad["_id"]) & (own["_text_hash"] == bad["_hash"]), "left_anti").select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"))
+    return own.join(bad, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti").select("_doc.*")

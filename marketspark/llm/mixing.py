@@ -28,6 +28,8 @@ WEIGHTS = (3, 1, 2)
 PERCENT, MOST = 150, 2
 #: Levels and bits of the cuts of a source's permuted order: 2**10 blocks, each of 2**10 parts.
 CUT_LEVELS, CUT_BITS = 2, 10
+#: How often a partial pass goes on among the documents that still fit, and how often the nearest in size is taken.
+FITTING, NEAREST = 3, 2
 #: Blocks to deal among shards: about so many in all, one a source and pass at least.
 DEALT_BLOCKS = 4096
 OUT_SHARDS = 16
@@ -68,47 +70,58 @@ def _slice(level: int) -> Column:
     return F.call_function("shiftrightunsigned", F.col("_key"), F.lit(64 - CUT_BITS * level))
 
 
-def _passes(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Rows with ``copies``: whole passes plus 1 if the row lies before the place where the last pass ends."""
-    quota = targets.select(
-        "source", "source_size", "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("_whole"),
-    ).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    # the cut goes down level by level: by source, the block where the running sum passes the rest
-    cut = quota.select(F.col("source").alias("_s"), F.lit(0).cast("long").alias("_cut"), F.col("_rest").alias("_left"))
+def _first_part(rows: DataFrame, budget: DataFrame) -> DataFrame:
+    """(_row) of the rows that, in their source's permuted order, come before the running sum of sizes passes its ``budget`` (_s, _left).
+
+    The place is found level by level: sums by block, then by the parts of one block; only rows of
+    that part, 2**-20 of the source, are added up one by one.
+    """
+    cut = budget.select("_s", F.lit(0).cast("long").alias("_cut"), "_left")
     for level in range(1, CUT_LEVELS + 1):
         inside = rows.join(cut, rows["source"].eqNullSafe(cut["_s"]) & (_slice(level - 1) == F.col("_cut") if level > 1 else F.lit(True)))
         blocks = inside.groupBy("_s", _slice(level).alias("_block")).agg(F.sum("size").alias("_words"), F.first("_left").alias("_left"))
         running = Window.partitionBy("_s").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
         ran = blocks.withColumn("_before", F.coalesce(F.sum("_words").over(running), F.lit(0)))
-        # the last block that begins at or before the rest; blocks before it are taken whole
+        # the last block that begins at or before the budget's end; blocks before it are taken whole
         cut = stored(
             ran.filter(F.col("_before") <= F.col("_left"))
             .groupBy("_s")
             .agg(F.max("_block").alias("_cut"), F.max(F.struct("_block", "_before"))["_before"].alias("_b"), F.first("_left").alias("_left"))
             .select("_s", "_cut", (F.col("_left") - F.col("_b")).alias("_left"))
         )
-    ends = cut.withColumnRenamed("_s", "_e")
-    marked = rows.join(quota, rows["source"].eqNullSafe(quota["source"])).drop(quota["source"])
-    marked = marked.join(ends, marked["source"].eqNullSafe(ends["_e"]), "left").drop("_e")
+    marked = rows.join(cut, rows["source"].eqNullSafe(cut["_s"]))
     mine = _slice(CUT_LEVELS)
-    # inside the last part rows are taken while they fit; it is 2**-20 of the source
-    running = Window.partitionBy("source", "_cut").orderBy("_key", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    edge = marked.filter(mine == F.col("_cut")).withColumn("_sum", F.sum("size").over(running)).withColumn("_in", F.col("_sum") <= F.col("_left")).drop("_sum")
-    plain = marked.filter((mine != F.col("_cut")) | F.col("_cut").isNull()).withColumn("_in", F.coalesce(mine < F.col("_cut"), F.lit(False)))
-    return plain.unionByName(edge).drop("_cut", "_left").withColumn("_in", F.col("_in") & (F.col("_rest") > 0))
+    running = Window.partitionBy("_s").orderBy("_key", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    edge = marked.filter(mine == F.col("_cut")).withColumn("_sum", F.sum("size").over(running)).filter(F.col("_sum") <= F.col("_left"))
+    return marked.filter(mine < F.col("_cut")).select("_row").union(edge.select("_row"))
 
 
-def _topped_up(rows: DataFrame, rounds: int = 3) -> DataFrame:
-    """Takes up to ``rounds`` more documents a source, each the one whose size is nearest to what is still missing."""
-    for _ in range(rounds):
-        rows = stored(rows)
-        missing = rows.groupBy(F.col("source").alias("_s")).agg((F.first("_rest") - F.sum(F.when(F.col("_in"), F.col("size")).otherwise(0))).alias("_miss"))
-        free = rows.filter(~F.col("_in")).join(missing, rows["source"].eqNullSafe(missing["_s"]))
-        off = F.abs(F.col("size") - F.col("_miss"))
-        best = free.filter((off < F.col("_miss")) & (F.col("size") > 0)).groupBy("_s").agg(F.min(F.struct(off, F.col("_key"), F.col("_row")))["_row"].alias("_best"))
-        rows = rows.join(best.select("_best"), rows["_row"] == best["_best"], "left").withColumn("_in", F.col("_in") | F.col("_best").isNotNull()).drop("_best")
-    return rows
+def _taken(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows with ``copies``: whole passes over the source, plus 1 for those of one more, partial pass.
+
+    That pass takes documents in their order while they fit. One that doesn't fit is passed over, and
+    the search goes on among those that fit in what is left (``FITTING`` times); at last the
+    documents whose sizes come nearest to what is missing are taken (``NEAREST`` times).
+    """
+    quota = targets.select(
+        "source", "source_size", "target",
+        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("_whole"),
+    ).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
+    marked = rows.join(quota, rows["source"].eqNullSafe(quota["source"])).drop(quota["source"]).withColumn("_in", F.lit(False))
+    for turn in range(FITTING + NEAREST):
+        if turn:
+            marked = stored(marked)
+        missing = marked.groupBy(F.col("source").alias("_s")).agg((F.first("_rest") - F.sum(F.when(F.col("_in"), F.col("size")).otherwise(0))).alias("_left"))
+        missing = stored(missing.filter(F.col("_left") > 0))
+        free = marked.filter(~F.col("_in") & (F.col("size") > 0)).join(missing, marked["source"].eqNullSafe(missing["_s"]))
+        if turn < FITTING:
+            more = _first_part(free.filter(F.col("size") <= F.col("_left")).select("source", "size", "_key", "_row"), missing)
+        else:
+            off = F.abs(F.col("size") - F.col("_left"))
+            more = free.filter(off < F.col("_left")).groupBy("_s").agg(F.min(F.struct(off, F.col("_key"), F.col("_row")))["_row"].alias("_row"))
+        more = more.select(F.col("_row").alias("_more"))
+        marked = marked.join(more, marked["_row"] == more["_more"], "left").withColumn("_in", F.col("_in") | F.col("_more").isNotNull()).drop("_more")
+    return marked.withColumn("copies", F.col("_whole") + F.col("_in").cast("long"))
 
 
 def splitting_tree(quotas: DataFrame, n_shards: int = OUT_SHARDS, seed: int = SEED) -> DataFrame:
@@ -145,7 +158,7 @@ def mix(docs: DataFrame, n_shards: int = OUT_SHARDS, seed: int = SEED) -> DataFr
     light = named.select("source", "size", "_key", "_row")
     sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stored(source_targets(sizes).drop("weight"))
-    taken = stored(_topped_up(_passes(light, targets)).withColumn("copies", F.col("_whole") + F.col("_in").cast("long")))
+    taken = stored(_taken(light, targets))
     # blocks of a source to deal: in proportion to its words, a power of two
     share = F.greatest(F.col("target") * DEALT_BLOCKS / F.greatest(F.col("_all"), F.lit(1.0)), F.lit(1.0))
     bits = targets.crossJoin(F.broadcast(targets.agg(F.sum("target").alias("_all")))).withColumn("_bits", F.floor(F.log2(share)).cast("int"))
@@ -158,7 +171,7 @@ def mix(docs: DataFrame, n_shards: int = OUT_SHARDS, seed: int = SEED) -> DataFr
     slot = F.expr("if(_bits = 0, 0L, shiftrightunsigned(_key, 64 - _bits))")
     copies = numbered.select("_row", "source", "_key", "blocks", F.explode_outer(F.expr(f"if(copies > 0, transform(sequence(0L, copies - 1), p -> p * shiftleft(1L, _bits)), cast(array() as array<bigint>))")).alias("_pass"), slot.alias("_slot"))
     at = F.col("_pass") + F.col("_slot")
-    copies = copies.select("_row", "source", F.when(at < F.col("blocks"), at).otherwise(F.pmod("_key", "blocks")).alias("_at"))
+    copies = copies.select("_row", "source", F.when(F.col("_pass").isNull(), F.lit(None)).when(at < F.col("blocks"), at).otherwise(F.pmod("_key", "blocks")).alias("_at"))
     dealt = copies.join(leaf, copies["source"].eqNullSafe(leaf["_src"]) & (F.col("_at") == F.col("block")), "left")
     shards = dealt.groupBy("_row").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
     figures = taken.select("_row", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")).join(shards, "_row")
@@ -166,6 +179,8 @@ def mix(docs: DataFrame, n_shards: int = OUT_SHARDS, seed: int = SEED) -> DataFr
 
 
 def mixed(docs: DataFrame, n_shards: int = OUT_SHARDS, seed: int = SEED) -> DataFrame:
-    """The mix itself: a row for each copy taken, ordered at random inside its shard; columns as in ``docs`` and ``mix_shard``."""
-    copies = mix(docs, n_shards, seed).select(*docs.columns, F.posexplode("shards").alias("_copy", "mix_shard"), "_key")
-    return copies.repartition("mix_shard", F.pmod("_key", F.lit(64))).sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed + 1), "_key", "_copy")).drop("_key", "_copy")
+    """The mix itself: a row for each copy taken, with the columns of ``docs``, dealt to shards and ordered at random inside each."""
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", "source")
+    copies = mix(packed, n_shards, seed).select("_doc", F.posexplode("shards").alias("_copy", "_shard"), "_key")
+    dealt = copies.repartition("_shard", F.pmod("_key", F.lit(64)))
+    return dealt.sortWithinPartitions("_shard", F.xxhash64(F.lit(seed + 1), "_key", "_copy")).select("_doc.*")

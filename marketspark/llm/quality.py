@@ -134,22 +134,23 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space:
     return Space(got.column("text").combine_chunks(), got.column("quality").to_numpy().astype(np.float64))
 
 
-def scored(docs: DataFrame, space: Space) -> DataFrame:
-    """Columns of ``docs`` and ``quality_score``."""
+def scored(docs: DataFrame, space: Space, to: str = "quality_score") -> DataFrame:
+    """Columns of ``docs`` and the score in column ``to`` (replaced if there)."""
     sent = docs.sparkSession.sparkContext.broadcast(space)
-    rest = [c for c in docs.columns if c != "quality_score"]
+    rest = [c for c in docs.columns if c != to]
     at = rest.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at):
                 score = pa.array(sent.value.scores(part.column(at)))
-                yield pa.RecordBatch.from_arrays([*part.columns, score], [*rest, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, score], [*rest, to])
 
     rows = docs.select(*rest)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(to, T.DoubleType())]))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
     """Rows of ``docs`` whose score is ``least`` or more."""
-    return scored(docs, learned(docs, labels)).filter(F.col("quality_score") >= least).select(*docs.columns)
+    to = "_score" + "_" * max(map(len, docs.columns))  # no column of docs has this name
+    return scored(docs, learned(docs, labels), to).filter(F.col(to) >= least).drop(to)

@@ -24,7 +24,26 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-@query("op1_substring_dedup")
+#: All windows of 35 words, counted; words under a window that is there twice are taken out.
+SUBSTRING_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), windows AS (
+  SELECT r, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM (
+    SELECT r, list_transform(range(1, len(ws) - 33), lambda i: md5(array_to_string(ws[i:i + 34], ' '))) AS hs FROM texts WHERE len(ws) >= 35)
+), covered AS (
+  SELECT DISTINCT r, i + k AS i FROM windows SEMI JOIN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1) AS twice USING (h), range(0, 35) AS t(k)
+), words AS (
+  SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM texts
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN covered USING (r, i) GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""
+
+
+@query("op1_substring_dedup", SUBSTRING_SQL)
 def _substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))

@@ -154,8 +154,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each class: the one with the smallest doc_id (null first), then text hash; columns as in ``docs``."""
     found = stored(near_duplicates(docs).select("doc_id", "text_hash", F.col("component_id").alias("_class")))
     keep = found.groupBy("_class").agg(F.min(F.struct("doc_id", "text_hash")).alias("_k")).select(F.col("_k.doc_id").alias("_id"), F.col("_k.text_hash").alias("_hash"))
-    own = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = own.join(keep, own["doc_id"].eqNullSafe(keep["_id"]) & (own["_text_hash"] == keep["_hash"]))
+    own = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"))
+    kept = own.join(keep, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
     # rows alike in doc_id and text
     one = Window.partitionBy("_id", "_hash").orderBy(F.lit(0))
-    return kept.withColumn("_at", F.row_number().over(one)).filter("_at = 1").select(*docs.columns)
+    return kept.withColumn("_at", F.row_number().over(one)).filter("_at = 1").select("_doc.*")
