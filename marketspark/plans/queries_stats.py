@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from marketspark.operators import pnl, stats
 from marketspark.operators import indicators as I
 from marketspark.plans.queries_pnl import COSTS, LEDGER, cross_target, grid_metrics, ledger_ctes, trades_of
 from marketspark.plans.registry import query
-from marketspark.plans.sqlkit import lag, over, with_
+from marketspark.plans.sqlkit import lag, normal_cdf_sql, normal_ppf_sql, over, with_
 from marketspark.sources.tables import Tables
 
 @query(
@@ -56,17 +57,41 @@ def _(t: Tables) -> DataFrame:
     return stats.sharpe_z(stats.sharpe_moments(t.panel), 0.01)
 
 
-@query("sta_04_probabilistic_sharpe", "symbol n", "psr")
+_Z = "sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe)"
+
+
+@query("sta_04_probabilistic_sharpe", "symbol n", "psr", with_("panel", f"SELECT symbol, n, {normal_cdf_sql(f'sharpe * {_Z}')} AS psr FROM m", m=_MOM))
 def _(t: Tables) -> DataFrame:
     return stats.probabilistic_sharpe(stats.sharpe_moments(t.panel))
 
 
-@query("sta_04_deflated_sharpe", "symbol n trials", "trial_var threshold z dsr")
+@query(
+    "sta_04_deflated_sharpe",
+    "symbol n trials",
+    "trial_var threshold z dsr",
+    with_(
+        "panel",
+        f"SELECT *, {normal_cdf_sql('z')} AS dsr FROM (SELECT *, (sharpe - threshold) * {_Z} AS z FROM m, h)",
+        m=_MOM,
+        f="SELECT count(sharpe) AS trials, coalesce(var_samp(sharpe), 0) AS trial_var FROM m",
+        h=f"SELECT *, CASE WHEN trials <= 1 THEN 0 ELSE sqrt(trial_var) * ({1 - stats.EULER_MASCHERONI!r}::DOUBLE * {normal_ppf_sql('1 - 1.0::DOUBLE / trials')} + {stats.EULER_MASCHERONI!r}::DOUBLE * {normal_ppf_sql('1 - 1.0::DOUBLE / (trials * exp(1))')}) END AS threshold FROM f",
+    ),
+)
 def _(t: Tables) -> DataFrame:
     return stats.deflated_sharpe(stats.sharpe_moments(t.panel))
 
 
-@query("sta_18_legacy_dsr", "symbol n", "deflated")
+@query(
+    "sta_18_legacy_dsr",
+    "symbol n",
+    "deflated",
+    with_(
+        "panel",
+        f"""SELECT symbol, n, CASE WHEN n > 10 AND s > 0 AND i > 0 THEN s * {normal_cdf_sql(f"(s - {NormalDist().inv_cdf(1 - 1 / 17)!r}::DOUBLE / sqrt(n)) / sqrt(CASE WHEN i > 0 THEN i END)")} ELSE 0 END AS deflated
+        FROM (SELECT *, (1 + 0.5::DOUBLE * s * s - skew * s + (kurt - 3) / 4 * s * s) / n AS i FROM (SELECT *, sharpe * sqrt(13) AS s FROM m))""",
+        m=_MOM,
+    ),
+)
 def _(t: Tables) -> DataFrame:
     m = stats.sharpe_moments(t.panel).withColumns({"sharpe": F.col("sharpe") * 13**0.5, "kurt": F.col("kurt") - 3})
     return stats.legacy_dsr(m)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from marketspark.functions import probability as P
+
 _EV = "epoch_us(ts) // 1000 AS ts, event_id AS seq, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS size"
 
 # name -> (needed names, body)
@@ -80,6 +82,32 @@ CTES: dict[str, tuple[str, str]] = {
 }
 
 
+def _polynomial(x: str, coefficients: tuple[float, ...]) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def normal_cdf_sql(z: str, name: str = "nz") -> str:
+    """The normal distribution by the same approximation as ``functions.probability``."""
+    tail = f"""list_transform([abs({name})], lambda {name}x: CASE WHEN {name}x < {P.HART_BORDER!r} THEN exp({name}x * {name}x / -2) * {_polynomial(name + "x", P.HART_TOP)} / {_polynomial(name + "x", P.HART_BOTTOM)}
+    ELSE exp({name}x * {name}x / -2) / ({name}x + 1 / ({name}x + 2 / ({name}x + 3 / ({name}x + 4 / ({name}x + 0.65::DOUBLE))))) / {P.ROOT_TWO_PI!r}::DOUBLE END)[1]"""
+    return f"list_transform([CAST({z} AS DOUBLE)], lambda {name}: CASE WHEN {name} > 0 THEN 1 - {tail} ELSE {tail} END)[1]"
+
+
+def normal_ppf_sql(p: str) -> str:
+    def tail(t: str) -> str:
+        r = f"sqrt(-2 * ln({t}))"
+        return f"({_polynomial(r, P.TAIL_TOP)} / {_polynomial(r, P.TAIL_BOTTOM)})"
+
+    c = "(np - 0.5::DOUBLE)"
+    middle = f"({_polynomial(f'({c} * {c})', P.QUANTILE_TOP)} * {c} / {_polynomial(f'({c} * {c})', P.QUANTILE_BOTTOM)})"
+    rough = f"CASE WHEN np < {P.QUANTILE_TAIL} THEN {tail('np')} WHEN np > {1 - P.QUANTILE_TAIL} THEN -{tail('(1 - np)')} ELSE {middle} END"
+    step = f"({normal_cdf_sql('nx')} - np) * sqrt(2 * pi()) * exp(nx * nx / 2)"
+    return f"list_transform([CAST({p} AS DOUBLE)], lambda np: list_transform([{rough}], lambda nx: list_transform([{step}], lambda nu: nx - nu / (1 + nx * nu / 2))[1])[1])[1]"
+
+
 def bucket_sql(ms: int, ts: str = "ts", offset: int = 0) -> str:
     return f"(({ts} - {offset}) // {ms} * {ms} + {offset})" if offset else f"({ts} // {ms} * {ms})"
 
