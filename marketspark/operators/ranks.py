@@ -1,9 +1,10 @@
 """Exact order statistics and ranks of groups of any size.
 
 Spark's exact ``percentile`` keeps a whole group's values in one buffer. Here a group is first
-split in value ranges (edges from a small quantile sketch), the ranges are counted, and only the
-ranges that hold a wanted rank are ordered, each in its own task. Sketch errors move the edges,
-never the result.
+split in value ranges (edges from a small quantile sketch, about one for each ``RANGE_ROWS`` rows), the
+ranges are counted, and rows are ordered inside their range, each range in its own task. A value that
+fills whole ranges is a range of its own and needs no order; its rows are spread. Sketch errors
+move the edges, never the result.
 """
 
 from __future__ import annotations
@@ -13,31 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
-
-
-def _ranged(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
-    """Rows as counts per distinct value, with ``_range``, ``n`` (group size) and ``_below`` (rows in lower ranges)."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
-    cuts = [i / ranges for i in range(1, ranges)]
-    edges = counted.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_edges"), F.sum("_k").alias("n"))
-    tagged = counted.join(edges, list(keys)) if keys else counted.crossJoin(F.broadcast(edges))  # one row without keys
-    tagged = tagged.withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
-    sizes = tagged.groupBy(*keys, "_range").agg(F.sum("_k").alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_below", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    return tagged.join(sizes, [*keys, "_range"])
-
-
-def value_at_rank(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """For each group the value at each 1-based rank; the ranks may use ``n``, the group size."""
-    ranged = _ranged(df, keys, value)
-    wanted = ranged.where(F.lit(False) if not ranks else _any([(r > F.col("_below")) & (r <= F.col("_below") + F.col("_rows")) for r in ranks.values()]))
-    upto = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = wanted.withColumn("_to", F.col("_below") + F.sum("_k").over(upto))
-    hit = {o: (r <= F.col("_to")) & (r > F.col("_to") - F.col("_k")) for o, r in ranks.items()}
-    aggs = [F.max(F.when(h, F.col(value))).alias(o) for o, h in hit.items()]
-    return placed.groupBy(*keys).agg(*aggs, F.max("n").alias("n"))
+#: Rows of a range, roughly, and the most ranges that a group is cut in.
+RANGE_ROWS, RANGES = 20_000, 1024
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -47,6 +25,72 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
+def _cut(df: DataFrame, keys: Sequence[str], values: Sequence[str], range_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with the range of each value (``_r0`` …), and per group the ``n`` and, for each value, its ranges.
+
+    ``_m0`` … map a range to the rows in it and below it. Ranges are even; the odd number after a range is
+    that of a value which is an edge twice, and so fills a range.
+    """
+    cuts = [i / RANGES for i in range(1, RANGES)]
+    wanted = F.greatest(F.lit(1), F.least(F.lit(RANGES), F.ceil(F.col("n") / range_rows)))
+    step = F.greatest(F.lit(1), F.floor(F.lit(RANGES) / wanted))
+    edges = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(v, cuts, 10 * RANGES).alias(f"_e{i}") for i, v in enumerate(values)])
+    edges = edges.withColumns({f"_e{i}": F.filter(f"_e{i}", lambda _, at: (at + 1) % step == 0) for i in range(len(values))})
+    joined = df.join(edges, list(keys)) if keys else df.crossJoin(F.broadcast(edges))  # one row without keys
+    tagged = joined.withColumns(
+        {f"_r{i}": F.size(F.filter(f"_e{i}", lambda e: e < F.col(v))) * 2 + (F.size(F.filter(f"_e{i}", lambda e: e == F.col(v))) > 1).cast("int") for i, v in enumerate(values)}
+    ).drop(*[f"_e{i}" for i in range(len(values))])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"_r{i}").alias("_r")) for i in range(len(values))]))
+    sizes = tagged.select(*keys, "n", each.alias("_x")).groupBy(*keys, "n", "_x._c", "_x._r").agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy(*keys, "_c").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("below", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    maps = [F.map_from_entries(F.collect_list(F.when(F.col("_c") == i, F.struct("_r", F.struct("rows", "below"))))).alias(f"_m{i}") for i in range(len(values))]
+    return tagged, sizes.groupBy(*keys, "n").agg(*maps)
+
+
+def _spread(row: Sequence[str], r: str) -> Column:
+    """Rows of a value that fills its range go to several tasks; there is no order among them."""
+    return F.when(F.col(r) % 2 == 1, F.pmod(F.xxhash64(*row), F.lit(256))).otherwise(F.lit(0))
+
+
+def value_at_rank(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """For each group the value at each 1-based rank; the ranks may use ``n``, the group size."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value))
+    tagged, groups = _cut(rows, keys, [value], range_rows)
+    # the ranges that hold a wanted rank: a few rows a group
+    ranges = groups.select(*keys, "n", F.explode("_m0").alias("_r0", "_m"))
+    held = ranges.where(_any([(r > F.col("_m.below")) & (r <= F.col("_m.below") + F.col("_m.rows")) for r in ranks.values()]))
+    held = held.select(*keys, "_r0", F.col("_m.below").alias("_below"), F.col("_m.rows").alias("_rows"))
+    wanted = tagged.join(held, [*keys, "_r0"])
+    # rows of a value that fills its range are alike here: one of them says all
+    wanted = wanted.where("_r0 % 2 = 0").unionByName(wanted.where("_r0 % 2 = 1").dropDuplicates([*keys, "_r0"])).repartition(*keys, "_r0")
+    placed = wanted.withColumn("_at", F.col("_below") + F.row_number().over(Window.partitionBy(*keys, "_r0").orderBy(value)))
+    full = F.col("_r0") % 2 == 1
+    hit = {o: F.when(full, (r > F.col("_below")) & (r <= F.col("_below") + F.col("_rows"))).otherwise(r == F.col("_at")) for o, r in ranks.items()}
+    return placed.groupBy(*keys).agg(*[F.max(F.when(h, F.col(value))).alias(o) for o, h in hit.items()], F.max("n").alias("n"))
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], values: dict[str, str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add average-tie ranks within each group: ``{value column: rank column}``; rows without a value are left out.
+
+    Rows are carried through: one exchange for each ranked column.
+    """
+    names = list(values)
+    rows = df.where(" and ".join(f"{v} is not null" for v in names))
+    tagged, groups = _cut(rows, keys, names, range_rows)
+    out = tagged.drop("n").join(groups.drop("n"), list(keys)) if keys else tagged.drop("n").crossJoin(F.broadcast(groups.drop("n")))
+    for i, v in enumerate(names):
+        r = f"_r{i}"
+        place = F.element_at(f"_m{i}", F.col(r))
+        out = out.withColumns({"_below": place["below"], "_rows": place["rows"], "_s": _spread(df.columns, r)})
+        # said outright, as the join before has the rows of a group together
+        out = out.repartition(*keys, r, "_s")
+        inside = Window.partitionBy(*keys, r, "_s")
+        ordered = F.rank().over(inside.orderBy(v)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, r, "_s", v)) - 1) / 2
+        out = out.withColumn(values[v], F.col("_below") + F.when(F.col(r) % 2 == 1, (F.col("_rows") + 1) / 2).otherwise(ordered))
+    return out.select(*df.columns, *values.values())
+
+
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation between neighbouring order statistics."""
     ranks = {}
@@ -60,20 +104,3 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str
         position = (F.col("n") - 1) * F.lit(q)
         cols[out] = F.col(f"_lo_{out}") + (position - F.floor(position)) * (F.col(f"_hi_{out}") - F.col(f"_lo_{out}"))
     return picked.withColumns(cols).drop(*ranks)
-
-
-def rank_table(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
-    """(keys, value, rank) of the distinct values, ties averaged."""
-    ranged = _ranged(df, keys, value)
-    upto = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.col("_below") + F.sum("_k").over(upto)
-    return ranged.select(*keys, value, (last - (F.col("_k") - 1) / 2).alias(out))
-
-
-def average_ranks(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
-    """Add average-tie ranks within each group: ``{value column: rank column}``. Every rank table starts from
-    the same rows, so their common part is shuffled once."""
-    out = df
-    for value, name in values.items():
-        out = out.join(rank_table(df, keys, value, name), [*keys, value])
-    return out
