@@ -23,6 +23,8 @@ from marketspark.operators.ranks import average_ranks
 from marketspark.operators.series import series_window
 
 EULER_MASCHERONI = 0.5772156649015329  # fixed value
+#: Resampled values that a task holds at a time.
+CELLS = 1 << 20
 
 
 def block_length(returns: DataFrame, *, keys: Sequence[str] = ("symbol",), ret: str = "ret") -> DataFrame:
@@ -81,7 +83,11 @@ def resample(
         number = int(group["_chunk"].iat[0])
         draws = min(chunk, times - number * chunk)
         rng = np.random.default_rng([seed, number])
-        measured = measure(group[value_names].to_numpy(dtype=float), rng, draws, group)
+        values = group[value_names].to_numpy(dtype=float)
+        # a few draws at a time, so that memory depends on neither the number of draws nor, beyond one draw, on n
+        step = max(1, CELLS // len(values))
+        parts = [measure(values, rng, min(step, draws - at), group) for at in range(0, draws, step)]
+        measured = {o: np.concatenate([p[o] for p in parts]) for o in outs}
         frame = {k: [group[k].iat[0]] * draws for k in names} | {"draw": number * chunk + np.arange(draws)}
         return pd.DataFrame(frame | {o: measured[o] for o in outs})
 
@@ -130,10 +136,11 @@ def trade_bootstrap(trades: DataFrame, periods: float, *, keys: Sequence[str] =
 
     def measure(values: np.ndarray, rng: np.random.Generator, draws: int, group: pd.DataFrame) -> dict[str, np.ndarray]:
         r = values[:, 0] / 100
-        path = np.cumprod(1 + r[rng.integers(0, len(r), (draws, len(r)))], axis=1)
+        drawn = r[rng.integers(0, len(r), (draws, len(r)))]
+        path = np.cumprod(1 + drawn, axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             drawdown = (path / np.maximum.accumulate(path, axis=1) - 1).min(axis=1) * 100
-            steps = path[:, 1:] / path[:, :-1] - 1 if path.shape[1] > 1 else np.zeros((draws, 1))
+            steps = drawn[:, 1:] if len(r) > 1 else np.zeros((draws, 1))
             sd = steps.std(axis=1)
             sharpe = steps.mean(axis=1) / np.where(sd == 0, 1e-10, sd) * math.sqrt(periods)
         return {"return_pct": (path[:, -1] - 1) * 100, "drawdown_pct": drawdown, "sharpe": sharpe}
@@ -186,9 +193,9 @@ def reality_check(panel: DataFrame, *, key: str = "strategy", ret: str = "ret",
 
     def measure(rng: np.random.Generator, draws: int, group: pd.DataFrame) -> np.ndarray:
         wide = group.pivot(index="ts", columns=key, values=ret).to_numpy(dtype=float)
-        picks = draw_indices(rng, len(wide), draws, block)
-        centred = wide - wide.mean(axis=0)
-        return np.array([centred[p].mean(axis=0).max() for p in picks])
+        centred, step = wide - wide.mean(axis=0), max(1, CELLS // len(wide))
+        batches = (draw_indices(rng, len(wide), min(step, draws - at), block) for at in range(0, draws, step))
+        return np.array([centred[p].mean(axis=0).max() for picks in batches for p in picks])
 
     per_group = _resample_wide(tagged, key, ret, measure, times, seed)
     tops = per_group.groupBy("draw").agg(F.max("v").alias("v"))

@@ -245,12 +245,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("sta_12_sign_flip_test", "symbol n significant", "p_value real_sharpe median_random_sharpe")
 def _(t: Tables) -> DataFrame:
-    return stats.sign_flip_test(trades_of(t), times=2000)
+    return stats.sign_flip_test(trades_of(t))
 
 
 @query("sta_13_trade_bootstrap", "symbol", "p5 p10 p25 p50 p75 p90 p95 dd_p5 dd_p25 dd_p50 dd_p75 dd_p95 prob_profit prob_ruin median_sharpe")
 def _(t: Tables) -> DataFrame:
-    return stats.trade_bootstrap_summary(stats.trade_bootstrap(trades_of(t), 52.0, times=2000))
+    return stats.trade_bootstrap_summary(stats.trade_bootstrap(trades_of(t), 52.0))
 
 
 _H = (1, 3, 6, 12)
@@ -302,7 +302,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("sta_15_ic_intervals", "symbol", "ic_lo ic_hi")
 def _(t: Tables) -> DataFrame:
-    return stats.ic_intervals(_scored(t), "momentum", 1, times=200)
+    return stats.ic_intervals(_scored(t), "momentum", 1)
 
 
 @query(
