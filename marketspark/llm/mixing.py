@@ -26,10 +26,10 @@ from marketspark.llm.common import positions, stored, word_count
 WEIGHTS = (3, 1, 2)
 #: Words of the mix per 100 words of the input, and the most passes over a source.
 PERCENT, MOST = 150, 2
-#: Levels and bits of the cuts of a source's permuted order: 2**10 blocks, each of 2**10 parts.
-CUT_LEVELS, CUT_BITS = 2, 10
+#: Bits of the order key that number the blocks of a source's permuted order.
+CUT_BITS = 14
 #: How often a partial pass goes on among the documents that still fit, and how often the nearest in size is taken.
-FITTING, NEAREST = 3, 2
+FITTING, NEAREST = 2, 2
 #: Blocks to deal among shards: about so many in all, one a source and pass at least.
 DEALT_BLOCKS = 4096
 OUT_SHARDS = 16
@@ -65,35 +65,27 @@ def source_targets(sizes: DataFrame, percent: int = PERCENT, most: int = MOST) -
     return ranked.withColumn("target", F.least(F.col("_cap"), F.col("weight") * F.lit(level))).drop("_cap")
 
 
-def _slice(level: int) -> Column:
-    """Bits of the order key that say in which block of this level a row is."""
-    return F.call_function("shiftrightunsigned", F.col("_key"), F.lit(64 - CUT_BITS * level))
+def _block() -> Column:
+    """Block of a row in its source's permuted order: the high bits of its order key."""
+    return F.call_function("shiftrightunsigned", F.col("_key"), F.lit(64 - CUT_BITS))
 
 
 def _first_part(rows: DataFrame, budget: DataFrame) -> DataFrame:
     """(_row) of the rows that, in their source's permuted order, come before the running sum of sizes passes its ``budget`` (_s, _left).
 
-    The place is found level by level: sums by block, then by the parts of one block; only rows of
-    that part, 2**-20 of the source, are added up one by one.
+    The place is found in sums by block; only rows of one block, 2**-14 of the source, are added up one by one.
     """
-    cut = budget.select("_s", F.lit(0).cast("long").alias("_cut"), "_left")
-    for level in range(1, CUT_LEVELS + 1):
-        inside = rows.join(cut, rows["source"].eqNullSafe(cut["_s"]) & (_slice(level - 1) == F.col("_cut") if level > 1 else F.lit(True)))
-        blocks = inside.groupBy("_s", _slice(level).alias("_block")).agg(F.sum("size").alias("_words"), F.first("_left").alias("_left"))
-        running = Window.partitionBy("_s").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        ran = blocks.withColumn("_before", F.coalesce(F.sum("_words").over(running), F.lit(0)))
-        # the last block that begins at or before the budget's end; blocks before it are taken whole
-        cut = stored(
-            ran.filter(F.col("_before") <= F.col("_left"))
-            .groupBy("_s")
-            .agg(F.max("_block").alias("_cut"), F.max(F.struct("_block", "_before"))["_before"].alias("_b"), F.first("_left").alias("_left"))
-            .select("_s", "_cut", (F.col("_left") - F.col("_b")).alias("_left"))
-        )
+    inside = rows.join(budget, rows["source"].eqNullSafe(budget["_s"]))
+    blocks = inside.groupBy("_s", _block().alias("_block")).agg(F.sum("size").alias("_words"), F.first("_left").alias("_left"))
+    running = Window.partitionBy("_s").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ran = blocks.withColumn("_before", F.coalesce(F.sum("_words").over(running), F.lit(0)))
+    # the last block that begins at or before the budget's end; blocks before it are taken whole
+    begun = ran.filter(F.col("_before") <= F.col("_left")).groupBy("_s").agg(F.max("_block").alias("_cut"), F.max("_before").alias("_b"), F.first("_left").alias("_left"))
+    cut = begun.select("_s", "_cut", (F.col("_left") - F.col("_b")).alias("_left"))
     marked = rows.join(cut, rows["source"].eqNullSafe(cut["_s"]))
-    mine = _slice(CUT_LEVELS)
     running = Window.partitionBy("_s").orderBy("_key", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    edge = marked.filter(mine == F.col("_cut")).withColumn("_sum", F.sum("size").over(running)).filter(F.col("_sum") <= F.col("_left"))
-    return marked.filter(mine < F.col("_cut")).select("_row").union(edge.select("_row"))
+    edge = marked.filter(_block() == F.col("_cut")).withColumn("_sum", F.sum("size").over(running)).filter(F.col("_sum") <= F.col("_left"))
+    return marked.filter(_block() < F.col("_cut")).select("_row").union(edge.select("_row"))
 
 
 def _taken(rows: DataFrame, targets: DataFrame) -> DataFrame:
