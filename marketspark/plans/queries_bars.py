@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from marketspark.operators import bars as B
 from marketspark.plans.registry import query
 from marketspark.plans.sqlkit import flow_bars_sql, ohlcv_sql, with_
+from marketspark.sources import sinks
 from marketspark.sources.tables import Tables
+from marketspark.streaming.feeds import scratch_folder
 
 _FLOW = "open high low close volume buy_volume sell_volume opens_long closes_long opens_short closes_short total_pnl total_fees taker_ratio volume_delta net_flow"
 _OHLC = "open high low close volume"
@@ -110,6 +112,14 @@ def _halves(t: Tables) -> tuple[DataFrame, DataFrame]:
     return purchases, rest
 
 
+def _merged_on_disk(t: Tables, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Written, merged day by day, and read back."""
+    path = f"{scratch_folder(t.spark)}/merged"
+    sinks.merge_daily(None, old, path)
+    sinks.merge_daily(sinks.read_daily(t.spark, path), new, path)
+    return sinks.read_daily(t.spark, path).drop("date")
+
+
 _HALF_CTES = {
     "old": ohlcv_sql("(SELECT * FROM ticks WHERE event_type IN ('purchase', 'click', 'view'))", 3_600_000),
     "new": ohlcv_sql("(SELECT * FROM ticks WHERE event_type IN ('signup', 'error', 'view'))", 3_600_000),
@@ -155,4 +165,4 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     corrected = t.event_funding.where("symbol = 'error'").withColumn("funding_rate", F.col("funding_rate") * 2)
-    return B.upsert(t.event_funding, corrected)
+    return _merged_on_disk(t, t.event_funding, corrected)

@@ -64,6 +64,21 @@ def stack(frames: Sequence[DataFrame]) -> DataFrame:
     return first
 
 
+def read_lines(spark: SparkSession, path: str, schema: str, start: str | int | None = None, end: str | int | None = None, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
+    """Snapshots from JSON lines in daily folders, both ends of the range included, one row per key.
+
+    The range cuts the folders that are read; of rows with one key that differ the smallest in column order stays.
+    """
+    df = spark.read.schema(f"{schema}, date date").json(path)
+    for bound, inside in ((start, F.col("date") >= _date_of(start)), (end, F.col("date") <= _date_of(end))):
+        df = df if bound is None else df.where(inside)
+    return one_per_key(in_time(df, start, end).drop("date"), list(keys), [c for c in df.columns if c not in (*keys, "date")])
+
+
+def _date_of(bound: str | int | None) -> Column:
+    return F.to_date(F.timestamp_millis(F.lit(epoch_ms(bound or 0))))
+
+
 def parse_fill_lines(lines: DataFrame, symbols: Sequence[str] | None = None) -> DataFrame:
     """Fills from JSON lines (column ``value``): each has ``events`` whose items are ``[address, fill]`` or ``fill``.
     Broken lines and times are skipped."""

@@ -157,3 +157,29 @@ def verify(df: DataFrame, sealed: DataFrame) -> DataFrame:
     """Sealed rows with ``intact``: does the data still have the stored fingerprint."""
     now = fingerprint(df).select(F.col("fingerprint").alias("_now"))
     return sealed.join(F.broadcast(now)).withColumn("intact", F.col("_now") == F.col("fingerprint")).drop("_now")  # one row
+
+
+def append_lines(df: DataFrame, path: str) -> None:
+    """Append snapshots as JSON lines, one folder a day."""
+    df.withColumn("date", _day()).repartition("date").write.mode("append").partitionBy("date").json(path)
+
+
+def log_runs(runs: DataFrame, path: str) -> None:
+    """Append experiment runs (``strategy, run_id, ts`` and metrics) to a log partitioned by strategy."""
+    runs.repartition("strategy").write.mode("append").partitionBy("strategy").parquet(path)
+
+
+def last_runs(log: DataFrame, n: int, *, strategy: str | None = None) -> DataFrame:
+    """The ``n`` newest runs of each strategy, or of one (only its folder is read), with ``age`` 1 for the newest."""
+    if strategy is not None:
+        log = log.where(F.col("strategy") == strategy)
+    newest = Window.partitionBy("strategy").orderBy(F.desc("ts"), F.desc("run_id"))
+    return log.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= n)
+
+
+def run_deltas(log: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Change of each metric from the second newest to the newest run of a strategy."""
+    two = last_runs(log, 2)
+    picked = [F.max(F.when(F.col("age") == age, F.col(c))).alias(f"_{c}_{age}") for c in ["run_id", *metrics] for age in (1, 2)]
+    both = two.groupBy("strategy").agg(*picked)
+    return both.select("strategy", F.col("_run_id_1").alias("run_id"), F.col("_run_id_2").alias("before_id"), *[(F.col(f"_{m}_1") - F.col(f"_{m}_2")).alias(f"d_{m}") for m in metrics])
