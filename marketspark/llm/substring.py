@@ -177,8 +177,9 @@ def _rows(name: np.ndarray, own: np.ndarray, ref: np.ndarray, place: np.ndarray,
     for chosen, kind, n in parts:
         at = np.nonzero(chosen)[0]
         if len(at):
-            # rows that aren't counted are spread by document
-            part = name[at] if kind >= _COUNT else mixed(ref[at] + place[at].astype(np.uint64))
+            # stretches meet at their anchor, single windows at themselves; rows that aren't counted are spread by document
+            meet = name[at] if compares else mixed(name[at] * _ODD ^ own[at])
+            part = meet if kind >= _COUNT else mixed(ref[at] + place[at].astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x.view(np.int64)) for x in (part, name[at], own[at], ref[at])] + [pa.array(place[at]), pa.array(np.full(len(at), kind, np.int32)), pa.array(np.full(len(at), n, np.int32))],
                 _NAMES,
