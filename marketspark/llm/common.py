@@ -25,15 +25,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def positions(df: DataFrame, *order: str | Column, to: str = "pos") -> DataFrame:
+def positions(df: DataFrame, *order: str | Column, to: str = "pos", partitions: int | None = None) -> DataFrame:
     """Adds each row's place (from 0) in the global order, without one task that sees all rows.
 
     Rows are range-partitioned and sorted inside the partitions; a partition's first place is the
     number of rows in the partitions before it. Only that list, one row a partition, is broadcast.
+    With ``partitions`` Spark doesn't merge small ones, which would put rows of unlike sizes together.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     dealt = stored(
-        df.repartitionByRange(*keys)
+        (df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys))
         .sortWithinPartitions(*keys)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))

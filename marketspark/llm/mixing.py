@@ -141,10 +141,13 @@ def splitting_tree(quotas: DataFrame, n_shards: int = OUT_SHARDS, seed: int = SE
     return ends.select("source", "shard", F.explode(F.expr("sequence(_end - _n, _end - 1)")).alias("block"))
 
 
-def mix(docs: DataFrame, n_shards: int = OUT_SHARDS, seed: int = SEED) -> DataFrame:
-    """Every row of ``docs`` with size, source_size, target, taken and ``shards``, the shard of each copy taken."""
+def mix(docs: DataFrame, n_shards: int = OUT_SHARDS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of ``docs`` with size, source_size, target, taken and ``shards``, the shard of each copy taken.
+
+    ``carry`` names the columns to keep (source among them), if not all.
+    """
     own = ("size", "source_size", "target", "taken", "shards", "_row", "_key")
-    kept = [c for c in docs.columns if c not in own]
+    kept = [c for c in carry or docs.columns if c not in own]
     body = F.coalesce(F.col("text"), F.lit(""))
     named = stored(docs.select(*kept, word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), body).alias("_key")).withColumn("_row", F.monotonically_increasing_id()))
     light = named.select("source", "size", "_key", "_row")
@@ -173,6 +176,6 @@ def mix(docs: DataFrame, n_shards: int = OUT_SHARDS, seed: int = SEED) -> DataFr
 def mixed(docs: DataFrame, n_shards: int = OUT_SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself: a row for each copy taken, with the columns of ``docs``, dealt to shards and ordered at random inside each."""
     packed = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", "source")
-    copies = mix(packed, n_shards, seed).select("_doc", F.posexplode("shards").alias("_copy", "_shard"), "_key")
+    copies = mix(packed, n_shards, seed, carry=("_doc", "source")).select("_doc", F.posexplode("shards").alias("_copy", "_shard"), "_key")
     dealt = copies.repartition("_shard", F.pmod("_key", F.lit(64)))
     return dealt.sortWithinPartitions("_shard", F.xxhash64(F.lit(seed + 1), "_key", "_copy")).select("_doc.*")

@@ -76,7 +76,7 @@ def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_mixing")
 def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return mixing.mix(docs, carry=("doc_id", "source")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 @query("op7_pii")

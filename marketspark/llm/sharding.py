@@ -121,7 +121,7 @@ def shard_table(docs: DataFrame, n_shards: int = SHARDS, payload: tuple[str, ...
         .withColumn("_curve", hilbert_index([F.col("_lang_code"), F.col("_source_code"), length_class]))
         .drop("_lang_code", "_source_code")
     )
-    ordered = positions(placed, "_curve", "_hash", "_id", to="_pos")
+    ordered = positions(placed, "_curve", "_hash", "_id", to="_pos", partitions=int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total = docs.agg(F.count("*").alias("_total"))
     with_total = ordered.crossJoin(F.broadcast(total))
     # shard k holds places ceil(k*total/n) .. ceil((k+1)*total/n) - 1
