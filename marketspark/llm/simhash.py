@@ -15,8 +15,9 @@ neighbours at distance 1; two that meet at such a midpoint are at distance 2 at
 distance 2 or less always meet, so a link to the midpoint's first member loses no component.
 
 Defined results: null or wordless text has fingerprint 0, which is linked like any other; doc_id may
-repeat, rows with the same fingerprint share a class; a class whose doc_ids are all null has id null;
-an empty table gives no rows; of other columns only doc_id and text are read.
+repeat, rows with the same fingerprint share a class; a class whose doc_ids are all null has id null,
+and unrelated classes may have the same id, so the root tells classes apart; an empty table gives no
+rows; of other columns only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -139,21 +140,22 @@ def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) of every row: component_id is the smallest doc_id of the class."""
+    """(doc_id, text_hash, fp, root, component_id) of every row: root is the class's smallest fingerprint, component_id its smallest doc_id."""
     rows = stored(fingerprints(docs))
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(classes)).withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     # only classes of several fingerprints need the smallest doc_id of another one
-    ids = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    ids = rooted.join(named, "root").select("fp", "root", "component_id")
+    return rows.join(ids, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each class: the one with the smallest doc_id (null first), then text hash; columns as in ``docs``."""
-    found = stored(near_duplicates(docs).select("doc_id", "text_hash", F.col("component_id").alias("_class")))
-    keep = found.groupBy("_class").agg(F.min(F.struct("doc_id", "text_hash")).alias("_k")).select(F.col("_k.doc_id").alias("_id"), F.col("_k.text_hash").alias("_hash"))
+    # doc_ids are null or repeat in unrelated classes, roots don't
+    found = stored(near_duplicates(docs).select("doc_id", "text_hash", "root"))
+    keep = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("_k")).select(F.col("_k.doc_id").alias("_id"), F.col("_k.text_hash").alias("_hash"))
     own = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"))
     kept = own.join(keep, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
     # rows alike in doc_id and text

@@ -482,6 +482,20 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_deduplicated_keeps_unrelated_texts_of_one_id(spark):
+    rng = random.Random(11)
+    texts = [sentence(rng, 40, [f"w{i}" for i in range(900)]) for _ in range(12)]
+    prints = [fingerprint_by_force(t) for t in texts]
+    assert all((a ^ b).bit_count() > 2 for i, a in enumerate(prints) for b in prints[:i])
+    # six unrelated texts without id, four with the same one, two with their own; copies of some of them
+    ids = [None] * 6 + [3] * 4 + [1, 2]
+    copied = [(None, texts[0]), (9, texts[1]), (3, texts[6]), (5, texts[10]), (3, None), (3, "")]
+    rows = [*zip(ids, texts, strict=True), *copied]
+    kept = simhash.deduplicated(documents(spark, [t for _, t in rows], ids=[i for i, _ in rows])).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept if r["text"]) == sorted((i or 0, t) for i, t in zip(ids, texts, strict=True))
+    assert len(kept) == 13
+
+
 def test_components(spark):
     rng = random.Random(11)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 160)] + [(200, k) for k in range(201, 240)] + [(3, 3)]
