@@ -3,10 +3,11 @@
 The standard library's parser streams a page's events. Each block (paragraph, heading, list item,
 cell, ...) is a line with its text, its number of tags and the element it belongs to. Ratios of text
 to tags are smoothed by a Gaussian along the page and split in two clusters by a threshold; lines of
-the upper cluster are content. Content decides over regions: an ``article`` or ``main`` element in
-which content lies is taken with all its lines, so that short paragraphs in it stay; a page without
-such elements gives the lines of the containers that hold most content. What a page marks as menu,
-header, footer, sidebar, notice, advert, form, comment section, script or style is no line at all.
+the upper cluster are content. All ``article`` and ``main`` elements are taken with all their lines,
+so that short paragraphs and short articles stay; a page without such elements gives all lines of its
+content root, the smallest part of the page that holds all content and is no list, table, quotation or
+section of something larger. What a page marks as menu, header, footer, sidebar, notice, advert, form,
+comment section, script or style is no line at all.
 
 Defined results: null and empty pages, and pages without text in a block, give an empty text; broken
 markup is read the way browsers do (a block start ends an open paragraph, stray end tags are
@@ -16,6 +17,7 @@ columns other than the page's id, url and html are not read.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -42,6 +44,8 @@ DROPPED = frozenset(
 )
 #: An open element of the second kind ends when one of the first starts.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
+#: Containers that can be a page's content root; the others are parts of a text.
+ROOTS = frozenset("body div html".split())
 CONTAINERS = frozenset("article aside blockquote body div dl fieldset figure form html main nav ol section table tbody td th thead tr ul".split())
 #: Words in class, id or role that mark what is not the article.
 MARKS = frozenset(
@@ -64,7 +68,8 @@ class Lines(HTMLParser):
         self.inside: list[int] = []  # articles that are open
         self.articles = 0
         self.containers: list[int] = [0]
-        self.made = 0
+        self.parents: list[int] = [0]  # of each container; the first is the page
+        self.kinds: list[str] = ["html"]
         self.text: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int, int]] = []
@@ -120,8 +125,9 @@ class Lines(HTMLParser):
         self.open.append((tag, dropped))
         self.dropping += dropped
         if tag in CONTAINERS:
-            self.made += 1
-            self.containers.append(self.made)
+            self.parents.append(self.containers[-1])
+            self.kinds.append(tag)
+            self.containers.append(len(self.parents) - 1)
         if tag in ("article", "main"):
             self.inside.append(self.articles)
             self.articles += not self.dropping
@@ -174,6 +180,22 @@ def threshold(values: np.ndarray) -> float:
     return border
 
 
+def content_root(parser: Lines, containers: set[int]) -> int:
+    """Lowest common ancestor of ``containers``, or the one around it that can be a root. A parent's number is below its children's."""
+    heap = [-c for c in containers]
+    heapq.heapify(heap)
+    while len(containers) > 1:
+        last = -heapq.heappop(heap)
+        containers.remove(last)
+        if (parent := parser.parents[last]) not in containers:
+            containers.add(parent)
+            heapq.heappush(heap, -parent)
+    root = next(iter(containers))
+    while parser.kinds[root] not in ROOTS:
+        root = parser.parents[root]
+    return root
+
+
 def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(html or "")
@@ -181,19 +203,16 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
+    if any(region >= 0 for _, _, region, _ in lines):
+        return "\n".join(text for text, _, region, _ in lines if region >= 0)
     ratios = smoothed(np.array([len(text) / max(tags, 1) for text, tags, _, _ in lines]))
     content = ratios >= threshold(ratios)
-    region = np.array([r for _, _, r, _ in lines])
-    sizes = np.array([len(text) for text, _, _, _ in lines])
-    if (region >= 0).any():
-        chosen = np.isin(region, np.unique(region[(region >= 0) & content]))
-        if not chosen.any():
-            chosen = region == np.argmax(np.bincount(region[region >= 0], sizes[region >= 0]))
-    else:
-        container = np.array([c for _, _, _, c in lines])
-        held = np.bincount(container[content], sizes[content])
-        chosen = np.isin(container, np.nonzero(held >= held.max() / 4)[0])
-    return "\n".join(text for (text, _, _, _), kept in zip(lines, chosen, strict=True) if kept)
+    root = content_root(parser, {c for (_, _, _, c), above in zip(lines, content, strict=True) if above})
+    inside = [False] * len(parser.parents)
+    inside[root] = True
+    for c in range(root + 1, len(inside)):
+        inside[c] = inside[parser.parents[c]]
+    return "\n".join(text for text, _, _, c in lines if inside[c])
 
 
 def extracted(pages: DataFrame) -> DataFrame:

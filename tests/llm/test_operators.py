@@ -106,6 +106,36 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+LONG = "A sentence of the article that goes on for quite a while and says a good deal about its subject."
+
+
+def test_pages_without_article_keep_short_parts():
+    body = [f"{LONG} {k}" for k in range(12)]
+    paragraphs = "".join(f"<p>{x}</p>" for x in body)
+    links = "<div>" + "".join(f"<div><a href={k}>L{k}</a></div>" for k in range(20)) + "</div>"
+    parts = {
+        "<ul><li>a</li><li>b</li></ul>": ["a", "b"],
+        "<ol><li>a</li></ol>": ["a"],
+        "<blockquote><p>Said.</p></blockquote>": ["Said."],
+        "<table><tr><td>x</td><td>y</td></tr></table>": ["x", "y"],
+        "<section><h2>S</h2><p>Few.</p></section>": ["S", "Few."],
+        "<div><div><p>Deep.</p></div></div>": ["Deep."],
+    }
+    for part, kept in parts.items():
+        page = f"<html><body>{links}<div class=content>{paragraphs}{part * 5}</div>{links}</body></html>"
+        assert html.main_text(page) == "\n".join(body + kept * 5)
+    # the long lines all in one section, short sections beside it
+    short = "<section><p>Few.</p></section>"
+    assert html.main_text(f"<body>{links}<div class=content><section>{paragraphs}</section>{short * 6}</div>{links}") == "\n".join(body + ["Few."] * 6)
+    deep = "<div>" * 5000 + f"<p>{LONG}</p>" + "</div>" * 5000
+    assert html.main_text(deep) == LONG
+
+
+def test_short_articles_stay():
+    page = f"<article>{f'<p>{LONG}</p>' * 10}</article>" + "<article><p>a</p><p>b</p><p>c</p><p>d</p><p>e</p></article>"
+    assert html.main_text(page) == "\n".join([LONG] * 10 + list("abcde"))
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>ab</p></article>"), (1, "u", "<article><p>ab</p></article>"), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("old"))
     rows = html.extracted(pages).collect()
