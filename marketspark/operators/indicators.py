@@ -864,7 +864,7 @@ def label_shares(labelled: DataFrame, label: str, keys: Sequence[str] = KEYS) ->
 
 
 def library_set(bars: DataFrame, axis: Axis = Axis(), *, length: int = 20, rsi_length: int = 14) -> DataFrame:
-    """Stable-named columns: sma, ema, wma, rsi, macd*, stoch*, atr, bb_*, obv, adx, dmp, dmn, zscore."""
+    """Stable-named columns: sma, ema, wma, rsi, macd*, stoch*, atr, bb_*, obv, zscore. ADX with its DI, and Supertrend, are missing here."""
     named = {
         "sma": ("sma", {"period": length}),
         "ema": ("ema", {"period": length}),
