@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import decontaminate, html, langid, mixing, neighbours, pii, quality, sharding, simhash, substring
+from marketspark.llm import decontaminate, html, langid, mixing, neighbours, pii, quality, rules, sharding, simhash, substring
 from marketspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,48 @@ def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_nn_descent")
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+#: Measures of every text, failures by source, rates shrunk to a beta prior by moments. Four rules, as in ``rules``.
+HOST_RULES_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, source, row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), windows AS (
+  SELECT r, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM (
+    SELECT r, list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' ')) AS hs FROM texts WHERE len(ws) >= 9)
+), again AS (
+  SELECT r, i FROM windows SEMI JOIN (SELECT r, h FROM windows GROUP BY r, h HAVING count(*) > 1) AS twice USING (r, h)
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM again, range(0, 8) AS t(k) GROUP BY r
+), lines AS (
+  SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM texts)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), measures AS (
+  SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(lines.dup, 0) AS BIGINT) AS n_dup_lines, coalesce(lines.n, 0) AS n_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM texts LEFT JOIN covered USING (r) LEFT JOIN lines USING (r)
+), failures AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, unnest([
+    {'rule': 1, 'f': n_words < 20}, {'rule': 2, 'f': 100 * n_repeat_words > 30 * n_words},
+    {'rule': 3, 'f': 10 * n_symbols > n_words}, {'rule': 4, 'f': 10 * n_dup_lines > 3 * n_lines}], recursive := true) FROM measures
+), hosts AS (
+  SELECT source, rule, count(*) AS n, CAST(count(*) FILTER (f) AS DOUBLE) AS f FROM failures WHERE source IS NOT NULL GROUP BY ALL
+), moments AS (
+  SELECT rule, count(*) AS k, CAST(sum(n) AS DOUBLE) AS total, sum(f) / sum(n) AS p, sum(f * f / n) AS ff, sum(CAST(n AS DOUBLE) * n) AS nn FROM hosts GROUP BY rule
+), prior AS (
+  SELECT rule, p, ((ff - total * p * p) / nullif(p * (1 - p), 0) - (k - 1)) / nullif(total - nn / total - (k - 1), 0) AS rho FROM moments
+), verdicts AS (
+  SELECT source, bool_or(coalesce(CASE WHEN rho > 0 THEN (f + (1 / least(rho, 1) - 1) * p) / (n + 1 / least(rho, 1) - 1) END, p) >= 0.5) AS host_failed
+  FROM hosts JOIN prior USING (rule) GROUP BY source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(host_failed, false) AS host_failed,
+  NOT base_failed AND NOT coalesce(host_failed, false) AS kept
+FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measures) LEFT JOIN verdicts USING (source)
+"""
+
+
+@query("op12_host_rules", HOST_RULES_SQL)
+def _host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.ruled(table(spark, sf_dir, "documents"), F.col("source"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept")
