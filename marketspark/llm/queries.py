@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import decontaminate, html, langid, mixing, neighbours, pii, quality, rules, sharding, simhash, substring
+from marketspark.llm import align, decontaminate, html, langid, mixing, neighbours, pii, quality, rules, sharding, simhash, substring
 from marketspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,8 @@ FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 def _host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.ruled(table(spark, sf_dir, "documents"), F.col("source"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept")
+
+
+@query("op11_token_alignment")
+def _token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"))
