@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import align, decontaminate, html, langid, mixing, neighbours, pii, quality, rules, sharding, simhash, substring
+from marketspark.llm import align, decontaminate, html, langid, mixing, neighbours, pii, quality, repair, rules, sharding, simhash, substring
 from marketspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,8 @@ def _host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_token_alignment")
 def _token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair")
+def _conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.summarised(repair.damaged(table(spark, sf_dir, "conversations")))
