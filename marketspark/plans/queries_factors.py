@@ -243,7 +243,48 @@ def _(t: Tables) -> DataFrame:
     return learn.alpha_trend(t.panel.join(regress.market_factor(t.panel), "ts"))
 
 
-@query("agg_34_health_score", "symbol score grade action", "p_value")
+_T_TAILS = ", ".join(
+    f"""CASE WHEN t{k} IS NOT NULL THEN 0.5 + 0.5 * CASE WHEN ({k} + n0) % 2 = 0
+    THEN t{k} / sqrt({k} + n0 - 2 + t{k} * t{k}) * list_sum(list_transform(range(0, ({k} + n0 - 2) // 2), lambda i: exp(lgamma(i + 0.5) - lgamma(i + 1)) / sqrt(pi()) * pow(({k} + n0 - 2) / ({k} + n0 - 2 + t{k} * t{k}), i)))
+    ELSE 2 / pi() * (atan(t{k} / sqrt({k} + n0 - 2)) + sqrt({k} + n0 - 2) * t{k} / ({k} + n0 - 2 + t{k} * t{k})
+    * list_sum(list_transform(range(0, ({k} + n0 - 3) // 2), lambda i: sqrt(pi()) / 2 * exp(lgamma(i + 1) - lgamma(i + 1.5)) * pow(({k} + n0 - 2) / ({k} + n0 - 2 + t{k} * t{k}), i)))) END END AS p{k}"""
+    for k in (10, 20, 30)
+)
+_SCORE = {
+    **_FACT,
+    **_HEALTH,
+    "hs_rows": """SELECT symbol, (pnl_pct - m0) / sd AS z, row_number() OVER (PARTITION BY symbol ORDER BY entry_ts) AS rn
+    FROM (SELECT b.*, m0, stddev_pop(pnl_pct) OVER (PARTITION BY symbol) AS sd FROM b JOIN o USING (symbol) WHERE b <= 30) WHERE sd > 0""",
+    "hs_cusum": """SELECT symbol, rn, greatest(0, z - 0.5) AS up, greatest(0, -z - 0.5) AS dn FROM hs_rows WHERE rn = 1 UNION ALL
+    SELECT l.symbol, l.rn, greatest(0, cs.up + l.z - 0.5), greatest(0, cs.dn - l.z - 0.5) FROM hs_cusum cs JOIN hs_rows l ON l.symbol = cs.symbol AND l.rn = cs.rn + 1""",
+    "hs_alpha": """SELECT symbol, regr_intercept(ret, mkt) AS alpha, coalesce(count(*) >= 40 AND avg(a) FILTER (i < n AND i >= n - 5) < 0.5 * avg(a) FILTER (i >= 20 AND i < 25), false) AS decaying
+    FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, count(*) OVER (PARTITION BY symbol) AS n, regr_intercept(ret, mkt) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING) AS a
+    FROM (SELECT p.*, mkt FROM panel p JOIN mk USING (ts))) GROUP BY 1 HAVING count(*) >= 20""",
+    "hs_late": """SELECT b.symbol, count(*) AS n1, count(*) FILTER (b <= 10) AS k10, count(*) FILTER (b <= 20) AS k20, count(*) FILTER (b <= 30) AS k30, avg(CASE WHEN pnl > 0 THEN 100 ELSE 0 END) AS win_rate, avg(slip) AS slippage_bps,
+    avg(pnl_pct) FILTER (b <= 10) AS m10, var_samp(pnl_pct) FILTER (b <= 10) AS v10, avg(pnl_pct) FILTER (b <= 20) AS m20, var_samp(pnl_pct) FILTER (b <= 20) AS v20, avg(pnl_pct) AS m30, var_samp(pnl_pct) AS v30
+    FROM b JOIN o USING (symbol) JOIN (SELECT DISTINCT symbol FROM hs_rows) USING (symbol) WHERE b <= 30 GROUP BY 1 HAVING count(*) >= 10""",
+    "hs_t": f"SELECT l.*, n0, m0, v0, base_win_rate, {', '.join(_t_sql(k).replace(f'(m{k}', f'CASE WHEN k{k} = {k} THEN (m{k}').replace(' AS t', ' END AS t') for k in (10, 20, 30))} FROM hs_late l JOIN o USING (symbol)",
+    "hs_p": f"SELECT *, {_T_TAILS} FROM hs_t",
+    "hs_points": """SELECT ps.*, c.cusum, coalesce(least(p10, p20, p30), 1) AS p_value, least(p10, p20, p30) AS least_p,
+    (coalesce(p10, 1) < 0.05)::INT + (coalesce(p20, 1) < 0.05)::INT + (coalesce(p30, 1) < 0.05)::INT AS significant, alpha, decaying FROM hs_p ps JOIN (SELECT symbol, max(greatest(up, dn)) AS cusum FROM hs_cusum GROUP BY 1) c USING (symbol) LEFT JOIN hs_alpha USING (symbol)""",
+    "hs_score": """SELECT *, CAST(round_even(greatest(0, least(100, CASE WHEN cusum < 2 THEN 20 WHEN cusum < 4 THEN 20 * (1 - (cusum - 2) / 2) ELSE 0 END + least(25, 25 * CASE WHEN base_win_rate > 0 THEN win_rate / base_win_rate ELSE 1 END)
+    + CASE WHEN significant = 0 THEN 25 WHEN significant < 2 THEN 15 ELSE greatest(0, least_p * 25) END
+    + CASE WHEN alpha IS NULL THEN 20 WHEN alpha > 0 AND NOT decaying THEN 20 WHEN alpha > 0 THEN 10 WHEN NOT decaying THEN 5 ELSE 0 END
+    + CASE WHEN slippage_bps - 5 < 2 THEN 10 WHEN slippage_bps - 5 < 20 THEN 10 * (1 - (slippage_bps - 7) / 18) ELSE 0 END)), 0) AS INT) AS score FROM hs_points""",
+}
+
+
+@query(
+    "agg_34_health_score",
+    "symbol score grade action",
+    "p_value",
+    with_(
+        "bn panel",
+        """SELECT *, CASE WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' WHEN score >= 20 THEN 'D' ELSE 'F' END AS grade,
+        CASE WHEN score >= 70 THEN 'continue' WHEN score >= 50 THEN 'reduce_size' WHEN score >= 25 THEN 'pause' ELSE 'stop' END AS action FROM hs_score""",
+        **_SCORE,
+    ),
+)
 def _(t: Tables) -> DataFrame:
     alphas = learn.alpha_trend(t.panel.join(regress.market_factor(t.panel), "ts"))
     return learn.health_score(learn.health_components(trades_of(t)), alphas)

@@ -22,13 +22,23 @@ def write_daily(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
     out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "date").format(fmt).save(path)
 
 
+#: Days up to which a scan is cut by a list of them.
+MOST_DAYS = 10_000
+
+
 def touched_part(stored: DataFrame, days: DataFrame) -> DataFrame:
     """Rows of a table partitioned by symbol and date that lie in ``days`` (symbol, date).
 
-    The first and last day cut the scan to those folders, the join to the very (symbol, date) pairs.
+    The list of days cuts the scan to their folders (by first and last day where there are over ``MOST_DAYS``,
+    27 years), the join to the very (symbol, date) pairs.
     """
-    span = days.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
-    return stored.where(F.col("date").between(F.lit(span["a"]), F.lit(span["b"]))).join(days, ["symbol", "date"], "left_semi")
+    dates = [r["date"] for r in days.select("date").distinct().orderBy("date").limit(MOST_DAYS + 1).collect()]
+    if len(dates) <= MOST_DAYS:
+        cut = F.col("date").isin(dates)
+    else:
+        span = days.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+        cut = F.col("date").between(F.lit(span["a"]), F.lit(span["b"]))
+    return stored.where(cut).join(days, ["symbol", "date"], "left_semi")
 
 
 def read_daily(spark: SparkSession, path: str) -> DataFrame | None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -85,9 +86,15 @@ def test_merge_reads_touched_days_only(spark, tmp_path):
     sinks.merge_daily(None, rows, path)
     late = spark.createDataFrame([("X", 4 * DAY + 1, 9.0), ("X", 4 * DAY + 7, 7.0)], "symbol string, ts long, v double")
     days = late.select("symbol", F.to_date(F.timestamp_millis("ts")).alias("date")).distinct()
-    plan = sinks.touched_part(sinks.read_daily(spark, path), days)._jdf.queryExecution().executedPlan().toString()
-    scan = next(x for x in plan.split("\n") if "PartitionFilters" in x and "table" in x)
-    assert "1970-01-05" in scan or "date#" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    old = spark.createDataFrame([("X", 0, 1.0), ("X", 8 * DAY, 1.0)], "symbol string, ts long, v double").select("symbol", F.to_date(F.timestamp_millis("ts")).alias("date"))
+    kept = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    # one fill of long ago doesn't make the merge read what lies between
+    for touched, filters in ((days, {"1970-01-05"}), (old, {"1970-01-01", "1970-01-09"})):
+        plan = sinks.touched_part(sinks.read_daily(spark, path), touched)._jdf.queryExecution().executedPlan().toString()
+        cut = next(x for x in plan.split("\n") if re.search(r"PartitionFilters: \[[^\]]*date#", x)).split("PartitionFilters: [")[1].split("], ")[0]
+        assert set(re.findall(r"1970-01-\d\d", cut)) == filters and (">=" not in cut)
+    spark.conf.set("spark.sql.maxMetadataStringLength", kept)
     sinks.merge_daily(sinks.read_daily(spark, path), late, path)
     after = {r["ts"]: r["v"] for r in sinks.read_daily(spark, path).collect()}
     assert len(after) == 28 and after[4 * DAY + 1] == 9.0 and after[4 * DAY] == 0.0

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketspark.functions import signals
-from marketspark.functions.probability import student_t_cdf
 from marketspark.functions.timefn import parse_bar_freq, parse_walk_forward, periods_per_year
 from marketspark.operators import asof, bars, cost, panel, pnl, regress, stats
 
@@ -99,6 +98,5 @@ def test_bootstrap_does_not_depend_on_partitioning(spark):
 
 
 def test_small_helpers():
-    assert student_t_cdf(0.0, 5) == 0.5 and student_t_cdf(2.0, 10) == pytest.approx(0.963306, abs=1e-6) and student_t_cdf(-2.0, 10) == pytest.approx(0.036694, abs=1e-6)
     assert parse_bar_freq("volume:100") == ("volume", 100.0) and parse_walk_forward("3m/1m") == (3, 1)
     assert periods_per_year("1h") == 8760 and periods_per_year("1w", trading=True) == 52.0
