@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -64,6 +65,9 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool]] = []  # element, and whether it starts a dropped part
+        self.counts: Counter[str] = Counter()  # open elements by name
+        self.scopes: list[Counter[str]] = [Counter()]  # the same inside each open container
+        self.scoped: list[int] = []  # places of the open containers
         self.dropping = 0
         self.inside: list[int] = []  # articles that are open
         self.articles = 0
@@ -92,13 +96,40 @@ class Lines(HTMLParser):
         words = set(re.split(r"[^a-z0-9]+", " ".join(named.get(k) or "" for k in ("class", "id", "role")).lower())) & (MARKS | HEADER_MARKS)
         return bool(words - HEADER_MARKS if self.inside else words)
 
-    def pop(self) -> None:
+    def pop(self) -> str:
         tag, dropped = self.open.pop()
         self.dropping -= dropped
+        self.counts[tag] -= 1
         if tag in CONTAINERS:
             self.containers.pop()
+            self.scopes.pop()
+            self.scoped.pop()
+        else:
+            self.scopes[-1][tag] -= 1
         if tag in ("article", "main") and self.inside:
             self.inside.pop()
+        return tag
+
+    def end_implied(self, ends: set[str]) -> None:
+        """Closes what a block start ends, up to the container it is in. Only walks where there is something to close."""
+        while True:
+            if any(self.scopes[-1][name] for name in ends):
+                while self.pop() not in ends:
+                    pass
+            elif self.scoped and self.open[self.scoped[-1]][0] in ends:
+                at = self.scoped[-1]
+                while len(self.open) > at:
+                    self.pop()
+            else:
+                return
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """An unknown marked section is a comment up to the next ``>``, as in browsers."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else -1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -109,14 +140,7 @@ class Lines(HTMLParser):
             return
         if tag in BLOCK:
             self.end_line()
-            ends = CLOSES.get(tag, set()) | {"p"}
-            for at in range(len(self.open) - 1, -1, -1):
-                name = self.open[at][0]
-                if name in ends:
-                    while len(self.open) > at:
-                        self.pop()
-                elif name in CONTAINERS and not (tag == "tr" and name in ("td", "th")):
-                    break
+            self.end_implied(CLOSES.get(tag, set()) | {"p"})
         if tag in ("article", "main") and not self.articles and self.dropping and not self.unwanted(tag, attrs):
             # the first article can't be part of a menu or an advert: their end tags are missing
             while self.dropping:
@@ -124,10 +148,15 @@ class Lines(HTMLParser):
         dropped = self.unwanted(tag, attrs)
         self.open.append((tag, dropped))
         self.dropping += dropped
+        self.counts[tag] += 1
         if tag in CONTAINERS:
+            self.scopes.append(Counter())
+            self.scoped.append(len(self.open) - 1)
             self.parents.append(self.containers[-1])
             self.kinds.append(tag)
             self.containers.append(len(self.parents) - 1)
+        else:
+            self.scopes[-1][tag] += 1
         if tag in ("article", "main"):
             self.inside.append(self.articles)
             self.articles += not self.dropping
@@ -141,6 +170,8 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.end_line()
+        if not self.counts[tag]:
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 while len(self.open) > at:

@@ -37,7 +37,8 @@ _SLICE = 1 << 21
 
 
 def letters(texts: pa.Array) -> list[np.ndarray]:
-    """Code points of each text, lower-cased, with one blank before, between and after words; empty without letters."""
+    """Code points of each text, lower-cased, with one blank before, between and after words; empty without letters (marks are none)."""
+    texts = pc.if_else(pc.match_substring_regex(pc.fill_null(texts, ""), r"\p{L}"), texts, "")
     spaced = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{M}]+", " "), " ")
     return [np.frombuffer(f" {t} ".encode("utf-32-le"), np.uint32).astype(np.int64) if t else np.zeros(0, np.int64) for t in spaced.to_pylist()]
 

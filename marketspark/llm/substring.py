@@ -287,9 +287,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .otherwise(F.array().cast("array<int>"))
     )
     found = stored(seen.select("ref", "place", "name", F.explode(said).alias("kind")))
-    # the texts are dealt by document once; both joins below read that exchange
+    # the texts are dealt by document once: both joins read that exchange, so both take the same columns of it
     compare = found.filter(F.col("kind") == _COMPARE).groupBy("ref").agg(F.collect_set(F.struct("name", "place")).alias("listed"))
-    singles = texts.join(compare, "ref").select("ref", "text", "listed").mapInArrow(_windows(window), _ROW)
+    singles = texts.join(compare, "ref").select("ref", "text", "listed", "doc_id").mapInArrow(_windows(window), _ROW)
     same = Window.partitionBy("part", "own")
     windows = singles.repartition("part").withColumn("n_own", F.sum(F.when(counted, F.col("n")).otherwise(0)).over(same)).filter((F.col("kind") == _SURE) | (F.col("n_own") > 1))
     flagged = found.filter(F.col("kind") == _SURE).select("ref", "place").union(windows.select("ref", "place"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -68,6 +69,21 @@ def test_substring_against_all_windows(spark, seed):
     assert [by_id[i] for i in range(len(texts))] == removed_by_force(texts)
 
 
+def test_substring_deals_texts_once(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}-"), F.col("id") % 7) for k in range(60)]).alias("text"))
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        out = substring.without_repeats(docs)
+        assert re.search(r"ReusedExchange \[doc_id\S+, text\S+, ref\S+\]", out._jdf.queryExecution().executedPlan().toString())
+        assert out.filter("n_removed = 60").count() == 300
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_substring_odd_tables(spark):
     assert substring.without_repeats(documents(spark, ["x"]).limit(0)).count() == 0
     long = " ".join(f"v{i}" for i in range(60))
@@ -136,6 +152,26 @@ def test_short_articles_stay():
     assert html.main_text(page) == "\n".join([LONG] * 10 + list("abcde"))
 
 
+def test_any_markup_is_read():
+    assert html.main_text("<![foo bar]><p>a</p>") == "a" and html.main_text("<p>a</p><![foo") == "a"
+    rng = random.Random(4)
+    tags = "p div b li ul tr td table article main section a h1 span nav form option dt dd body script style".split()
+    odd = ["<br>", "&amp;", "<![", "<!x", "<!-", "]]>", "<![if x]>", "<![CDATA[", "<!DOCTYPE", "<?p", "<", "&#x", "\0", "<a b='", "<!["]
+    for _ in range(1500):
+        html.main_text("".join(rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", f"w{rng.random()} words ", rng.choice(odd)]) for _ in range(rng.randrange(40))))
+
+
+@pytest.mark.parametrize("page", ["<div>{n}</li>", "<b>{n}<p>x", "<p><b>{n}<li>x", "<td>{n}<tr>", "<table>{n}</p>"])
+def test_unclosed_tags_take_linear_time(page):
+    first, then = page.split("{n}")
+    took = []
+    for n in (3000, 24_000):
+        begin = time.perf_counter()
+        html.main_text(first * n + then * n)
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 40 * took[0] + 1
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>ab</p></article>"), (1, "u", "<article><p>ab</p></article>"), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("old"))
     rows = html.extracted(pages).collect()
@@ -276,10 +312,10 @@ def test_languages_on_held_out_documents(spark):
 
 
 def test_language_odd_input(spark):
-    docs = documents(spark, ["the cat", "le chat", None, "12 !!", "", "the " * 50_000], ["en", "fr", "en", None, None, None], ids=[0, 2, None, 7, 8, 9])
+    docs = documents(spark, ["the cat", "le chat", None, "12 !!", "", "the " * 50_000, "\u0301 \u0308"], ["en", "fr", "en", None, None, None, None], ids=[0, 2, None, 7, 8, 9, 11])
     rows = {(r["doc_id"], r["lang_pred"]): r["score"] for r in langid.identified(clashing(docs)).collect()}
-    assert all(0 <= s <= 1 for s in rows.values()) and len(rows) == 6
-    assert {k for k, s in rows.items() if k[1] == "und"} == {(None, "und"), (7, "und"), (8, "und")}
+    assert all(0 <= s <= 1 for s in rows.values()) and len(rows) == 7
+    assert {k for k, s in rows.items() if k[1] == "und"} == {(None, "und"), (7, "und"), (8, "und"), (11, "und")}
     nothing = langid.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
     assert langid.identified(docs.limit(0)).count() == 0
