@@ -30,19 +30,28 @@ LARGE_MULTIPLE = 10
 LARGE_FLOOR = 0.001
 
 
-def trade_tape(trades: DataFrame, tf: str = "1m", buy_side: str = "B") -> DataFrame:
-    """Per symbol and window: buy and sell volume and count, VWAP, imbalance, large volume.
-
-    Large means above ten times the median size (the upper one of two). The median comes from
-    counts per distinct size, so no window's trades are ever collected in one place.
-    """
+def size_counts(grouped, buy_side: str = "B") -> DataFrame:
+    """Counts and price sum of trades grouped by size (and symbol and window)."""
     buy = F.col("side") == buy_side
-    sizes = trades.groupBy("symbol", bucket("ts", tf).alias("bar_ts"), "size").agg(
+    return grouped.agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(buy, 1)).alias("buy_count"),
         F.count(F.when(~buy, 1)).alias("sell_count"),
         F.sum("price").alias("px_sum"),
     )
+
+
+def trade_tape(trades: DataFrame, tf: str = "1m", buy_side: str = "B") -> DataFrame:
+    """Per symbol and window: buy and sell volume and count, VWAP, imbalance, large volume.
+
+    Large means above ten times the median size (the upper one of two). The median comes from
+    counts per distinct size, so no window's trades are ever collected in one place.
+    """
+    return tape_of_sizes(size_counts(trades.groupBy("symbol", bucket("ts", tf).alias("bar_ts"), "size"), buy_side))
+
+
+def tape_of_sizes(sizes: DataFrame) -> DataFrame:
+    """The tape of trades counted by (symbol, bar_ts, size)."""
     w = Window.partitionBy("symbol", "bar_ts")
     upto = w.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sizes.withColumns({"_cum": F.sum("n").over(upto), "_all": F.sum("n").over(w)})

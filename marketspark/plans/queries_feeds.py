@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.functions import symbols
+from marketspark.functions.timefn import bucket
 from marketspark.operators import asof, bars, flow, memory, scan, universe
 from marketspark.operators import indicators as I
 from marketspark.operators.series import lookback, series_window
@@ -16,6 +17,7 @@ from marketspark.sources import readers
 from marketspark.sources.tables import Tables
 from marketspark.session import cut_lineage
 from marketspark.streaming import feeds
+from marketspark.streaming.upserts import upserted as upsert_stream
 
 _TAPE_VALS = "buy_volume sell_volume total_volume vwap imbalance large_buy_volume large_sell_volume volume_delta"
 _TAPE_SELECT = """SELECT symbol, ts, buy_count, sell_count, trade_count, buy_volume, sell_volume, total_volume, notional / total_volume AS vwap, delta / total_volume AS imbalance, large * buy_volume / total_volume AS large_buy_volume,
@@ -43,12 +45,13 @@ def _trade_stream(t: Tables) -> DataFrame:
     )
 
 
-_CLOSED = "WHERE ts + 3600000 <= (SELECT max(ts) - 7200000 FROM type_ticks)"
+def _upserted(t: Tables, stream: DataFrame, *keys: str) -> DataFrame:
+    return upsert_stream(stream, keys, feeds.scratch_folder(t.spark))
 
 
-@query("str_01_trade_tape_stream", "symbol ts buy_count sell_count trade_count", _TAPE_VALS, with_("type_ticks", f"{_TAPE_SELECT} {_CLOSED}", **TAPE_CTES), digits=5)
+@query("str_01_trade_tape_stream", "symbol ts buy_count sell_count trade_count", _TAPE_VALS, with_("type_ticks", _TAPE_SELECT, **TAPE_CTES), digits=5)
 def _(t: Tables) -> DataFrame:
-    return _drained(t, feeds.tape_stream(_trade_stream(t), "1 hour", "2 hours"))
+    return flow.tape_of_sizes(_upserted(t, feeds.tape_stream(_trade_stream(t), "1 hour", "2 hours"), "symbol", "bar_ts", "size"))
 
 
 def _drained(t: Tables, stream: DataFrame) -> DataFrame:
@@ -57,6 +60,27 @@ def _drained(t: Tables, stream: DataFrame) -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+_FIVE_DAYS, _HALF_DAY = 432_000_000, 43_200_000
+
+
+def _fed(t: Tables, rows: DataFrame, file: Column) -> DataFrame:
+    """``rows`` (with ``ts``) as a stream of files that arrive in the order of ``file``, a few of them, one a batch."""
+    folder = f"{feeds.scratch_folder(t.spark)}/feed"
+    dealt = cut_lineage(rows.withColumns({"time": F.timestamp_millis("ts"), "_file": file}))
+    for f in [r[0] for r in dealt.select("_file").distinct().orderBy("_file").collect()]:
+        dealt.where(F.col("_file") == f).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(dealt.drop("_file").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _shuffled(*by: str) -> Column:
+    """Files of five days whose rows come up to six hours too late, in no order."""
+    return F.floor((F.col("ts") + F.pmod(F.xxhash64(*by), F.lit(21_600_000))) / _FIVE_DAYS)
+
+
+def _running(t: Tables) -> DataFrame:
+    return _upserted(t, feeds.running_tape(_fed(t, trades(t), _shuffled("seq")), "1h", "12 hours"), "symbol", "ts")
+
+
 _OF_VALS = "avg_bid_depth avg_ask_depth bid_ratio bid_vanished ask_vanished phantom_bid phantom_ask avg_spread_bps"
 
 
@@ -65,34 +89,93 @@ def _(t: Tables) -> DataFrame:
     return flow.orderflow_windows(t.books, "6h")
 
 
+@query("str_02_orderflow_stream", "symbol ts snapshots", _OF_VALS, with_("levels_ranked", flow_sql(21_600_000), **DEPTH_CTES), digits=5)
+def _(t: Tables) -> DataFrame:
+    diffs = _upserted(t, feeds.orderflow_diffs(_fed(t, t.books, _shuffled("symbol", "ts")), delay="12 hours"), "symbol", "ts")
+    return flow.summarise_orderflow(diffs.groupBy("symbol", bucket("ts", "6h").alias("bar_ts")), "bar_ts")
+
+
 @query("str_03_cumulative_delta", "symbol ts", "volume_delta cvd", with_("type_ticks", f"SELECT symbol, ts, delta AS volume_delta, sum(delta) {over()} AS cvd FROM tp", **TAPE_CTES), digits=4)
 def _(t: Tables) -> DataFrame:
     return flow.cumulative_delta(flow.trade_tape(trades(t), "1h"))
 
 
+@query("str_03_cumulative_delta_stream", "symbol ts", "volume_delta cvd", with_("type_ticks", f"SELECT symbol, ts, delta AS volume_delta, sum(delta) {over()} AS cvd FROM tp", **TAPE_CTES), digits=4)
+def _(t: Tables) -> DataFrame:
+    return _running(t)
+
+
+_RELATIVE = with_("type_ticks", f"SELECT symbol, ts, CASE WHEN count(*) {over(60)} >= 5 THEN total_volume / avg(total_volume) {over(60)} ELSE 1 END AS relative_volume FROM tp", **TAPE_CTES)
+
+
 @query(
     "str_04_relative_volume",
     "symbol ts",
     "relative_volume",
-    with_("type_ticks", f"SELECT symbol, ts, CASE WHEN count(*) {over(60)} >= 5 THEN total_volume / avg(total_volume) {over(60)} ELSE 1 END AS relative_volume FROM tp", **TAPE_CTES),
+    _RELATIVE,
 )
 def _(t: Tables) -> DataFrame:
     return flow.relative_tape_volume(flow.trade_tape(trades(t), "1h"))
 
 
+@query("str_04_relative_volume_stream", "symbol ts", "relative_volume", _RELATIVE)
+def _(t: Tables) -> DataFrame:
+    return _running(t)
+
+
+_QUOTES = with_(
+    "levels_ranked",
+    """SELECT symbol, ts, bp AS bid_px, bs AS bid_sz, ap AS ask_px, az AS ask_sz, CASE WHEN bs + az > 0 THEN bs / (bs + az) ELSE 0.5 END AS bid_ratio, CASE WHEN bp > 0 AND ap > 0 THEN (ap - bp) / bp * 10000 ELSE 0 END AS spread_bps FROM (
+    SELECT symbol, ts, coalesce(max(px) FILTER (side = 'bid' AND lvl = 1), 0) AS bp, coalesce(max(sz) FILTER (side = 'bid' AND lvl = 1), 0) AS bs, coalesce(max(px) FILTER (side = 'ask' AND lvl = 1), 0) AS ap,
+    coalesce(max(sz) FILTER (side = 'ask' AND lvl = 1), 0) AS az FROM levels_ranked GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1""",
+)
+
+
 @query(
     "str_05_latest_quotes",
     "symbol ts",
     "bid_px bid_sz ask_px ask_sz bid_ratio spread_bps",
+    _QUOTES,
+)
+def _(t: Tables) -> DataFrame:
+    return flow.latest_quotes(t.books)
+
+
+@query("str_05_latest_quotes_stream", "symbol ts", "bid_px bid_sz ask_px ask_sz bid_ratio spread_bps", _QUOTES)
+def _(t: Tables) -> DataFrame:
+    return _upserted(t, feeds.latest_quote_stream(_fed(t, t.books, _shuffled("symbol", "ts"))), "symbol")
+
+
+@query(
+    "str_06_late_data",
+    "symbol rows late kept dropped",
+    "",
     with_(
-        "levels_ranked",
-        """SELECT symbol, ts, bp AS bid_px, bs AS bid_sz, ap AS ask_px, az AS ask_sz, CASE WHEN bs + az > 0 THEN bs / (bs + az) ELSE 0.5 END AS bid_ratio, CASE WHEN bp > 0 AND ap > 0 THEN (ap - bp) / bp * 10000 ELSE 0 END AS spread_bps FROM (
-        SELECT symbol, ts, coalesce(max(px) FILTER (side = 'bid' AND lvl = 1), 0) AS bp, coalesce(max(sz) FILTER (side = 'bid' AND lvl = 1), 0) AS bs, coalesce(max(px) FILTER (side = 'ask' AND lvl = 1), 0) AS ap,
-        coalesce(max(sz) FILTER (side = 'ask' AND lvl = 1), 0) AS az FROM levels_ranked GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1""",
+        "type_ticks",
+        f"""SELECT symbol, count(*) AS rows, count(*) FILTER (ts <= mark) AS late, count(*) FILTER (mark IS NULL OR ts > mark) AS kept, any_value(dropped) AS dropped
+        FROM fed LEFT JOIN marks USING (file), (SELECT count(*) AS dropped FROM fed JOIN marks USING (file) WHERE ts <= mark) GROUP BY symbol""",
+        fed=f"SELECT symbol, ts, seq, ts // {_FIVE_DAYS} + CASE WHEN seq % 50 = 7 THEN 3 ELSE 0 END AS file FROM type_ticks",
+        marks=f"SELECT file, max(max(ts)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {_HALF_DAY} AS mark FROM fed GROUP BY file",
     ),
 )
 def _(t: Tables) -> DataFrame:
-    return flow.latest_quotes(t.books)
+    """Every 50th tick comes fifteen days late: what the stream drops, what the listener counts, what the side table keeps."""
+    file = F.floor(F.col("ts") / _FIVE_DAYS) + F.when(F.pmod("seq", F.lit(50)) == 7, 3).otherwise(0)
+    stream = _fed(t, t.type_ticks.select("symbol", "ts", "seq"), file)
+    folder = feeds.scratch_folder(t.spark)
+    counter = feeds.LateCounter()
+    t.spark.streams.addListener(counter)
+    try:
+        once = stream.withWatermark("time", f"{_HALF_DAY} milliseconds").dropDuplicatesWithinWatermark(["symbol", "seq"])
+        run = feeds.run_available(once, f"{folder}/out", f"{folder}/checkpoint")
+        t.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        t.spark.streams.removeListener(counter)
+    late = feeds.late_rows_of(stream, _HALF_DAY, f"{folder}/side").groupBy("symbol").agg(F.count("*").alias("late"))
+    kept = t.spark.read.schema(once.schema).parquet(f"{folder}/out").groupBy("symbol").agg(F.count("*").alias("kept"))
+    rows = t.type_ticks.groupBy("symbol").agg(F.count("*").alias("rows"))
+    filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("late", "kept")]
+    return rows.join(late, "symbol", "left").join(kept, "symbol", "left").select("symbol", "rows", *filled, F.lit(counter.dropped[str(run.id)]).cast("long").alias("dropped"))
 
 
 @query(
@@ -133,12 +216,12 @@ def _(t: Tables) -> DataFrame:
     with_(
         "type_bars event_funding",
         """SELECT b.symbol, b.ts, num_trades, open, high, low, close, v AS volume, coalesce(funding_rate, 0) AS funding_rate FROM type_bars b JOIN (SELECT symbol, ts // 3600000 * 3600000 AS ts, sum(size * size + 1) AS v FROM type_ticks GROUP BY symbol, type_ticks.ts // 3600000) s USING (symbol, ts)
-        LEFT JOIN event_funding USING (symbol, ts) WHERE b.ts + 3600000 <= (SELECT max(ts) - 7200000 FROM type_ticks)""",
+        LEFT JOIN event_funding USING (symbol, ts)""",
     ),
     digits=7,
 )
 def _(t: Tables) -> DataFrame:
-    return _drained(t, feeds.with_funding(feeds.bars_stream(_trade_stream(t)), t.event_funding))
+    return feeds.with_funding(_upserted(t, feeds.bars_stream(_trade_stream(t)), "symbol", "ts"), t.event_funding)
 
 
 # ── browsing tables and universes ──────────────────────────────────────────────────────────
