@@ -1,8 +1,9 @@
 """Least squares of many series at once, factors, signal combination.
 
 OLS needs only sums of products, which Spark aggregates with map-side partials; the k×k systems
-(one row per series) are solved in batches of result rows. Huber weights need residual medians in
-every iteration; a returns series is calendar-bounded, so each is fitted in its own group.
+(one row per series) are solved in batches of result rows. Huber weights need the exact median of residuals
+in every pass: a short series is fitted in one group, a long one (over ``GROUP_ROWS``) by passes of
+aggregations over its rows, wherever they are.
 """
 
 from __future__ import annotations
@@ -16,10 +17,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.functions.probability import normal_cdf
-from marketspark.operators.panel import correlations, ledoit_wolf, moments, solve
+from marketspark.operators.panel import correlations, ledoit_wolf, moments
+from marketspark.operators.ranks import percentiles
 from marketspark.operators.series import lookback, series_window
+from marketspark.operators.tiles import solve
+from marketspark.session import cut_lineage
 
 HUBER_C = 1.345  # fixed value
+#: Median absolute deviation of a standard normal.
+MAD = 0.6744897501960817
+#: Rows of a series up to which it is fitted in one group.
+GROUP_ROWS = 20_000
 
 
 def _terms(xs: Sequence[str]) -> list[Column]:
@@ -74,22 +82,18 @@ def newey_west_lag(n: Column) -> Column:
     return F.floor(4.0 * F.pow(n / 100.0, F.lit(2 / 9)))
 
 
-def ols_newey_west(df: DataFrame, y: str, xs: Sequence[str], *, keys: Sequence[str], order: Sequence[str] = ("ts",)) -> DataFrame:
-    """OLS with Newey–West (Bartlett) standard errors: per key ``coef, se, tstat, pvalue`` arrays, ``r2, lag``.
+def _bartlett(rows: DataFrame, scores: Sequence[Column], names: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """(keys, meat): (L + 1) times the Bartlett-weighted sum of products of scores along each series, row-major.
 
-    The lag L grows with n and has no bound here: with B the sum of the last L + 1 scores (scores
-    outside the series count as zero), the Bartlett-weighted moment is ΣBB′/(L + 1). B is the
-    difference of two running sums, so a row meets one other row, whatever L is.
+    The lag L grows with n and has no bound: with B the sum of the last L + 1 scores (scores outside the
+    series count as zero), the weighted moment is ΣBB′/(L + 1). B is the difference of two running sums, so a
+    row meets one other row, whatever L is.
     """
-    k = len(xs) + 1
-    names = list(keys)
-    fit = ols(df, y, xs, keys=keys)
-    valid = df.where(" and ".join(f"{c} is not null" for c in [y, *xs]))
-    resid = residuals(valid, fit, y, xs, keys=keys).where("resid is not null")
-    ordered = Window.partitionBy(*keys).orderBy(*order)
+    k = len(scores)
+    ordered = Window.partitionBy(*names).orderBy(*order)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = [F.sum(t * F.col("resid")).over(running) for t in _terms(xs)]
-    at = resid.select(*names, F.row_number().over(ordered).alias("_t"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"), F.array(*sums).alias("_p"))
+    sums = [F.sum(s).over(running) for s in scores]
+    at = rows.select(*names, F.row_number().over(ordered).alias("_t"), F.count(F.lit(1)).over(Window.partitionBy(*names)).alias("_n"), F.array(*sums).alias("_p"))
     lag = newey_west_lag(F.col("_n")).cast("int")
     at = at.withColumn("_lag", lag)
     # the sum before row t is subtracted from that at row t + L, or from the last one near the end
@@ -103,8 +107,24 @@ def ols_newey_west(df: DataFrame, y: str, xs: Sequence[str], *, keys: Sequence[s
     head = at.where(F.col("_t") <= F.col("_lag") + 1).select(*names, zero.alias("_before"), F.col("_p").alias("_ahead"))
     blocks = inner.unionByName(tail).unionByName(head)
     b = [F.col("_ahead")[i] - F.col("_before")[i] for i in range(k)]
-    meat = blocks.groupBy(*keys).agg(F.array(*[F.sum(b[i] * b[j]) for i in range(k) for j in range(k)]).alias("meat"))
-    types = dict(df.dtypes)
+    return blocks.groupBy(*names).agg(F.array(*[F.sum(b[i] * b[j]) for i in range(k) for j in range(k)]).alias("meat"))
+
+
+def ols_newey_west(df: DataFrame, y: str, xs: Sequence[str], *, keys: Sequence[str], order: Sequence[str] = ("ts",)) -> DataFrame:
+    """OLS with Newey–West (Bartlett) standard errors: per key ``coef, se, tstat, pvalue`` arrays, ``r2, lag``."""
+    k = len(xs) + 1
+    names = list(keys)
+    fit = ols(df, y, xs, keys=keys)
+    valid = df.where(" and ".join(f"{c} is not null" for c in [y, *xs]))
+    resid = residuals(valid, fit, y, xs, keys=keys).where("resid is not null")
+    meat = _bartlett(resid, [t * F.col("resid") for t in _terms(xs)], names, order)
+    joined = fit.withColumn("lag", newey_west_lag(F.col("n")).cast("int")).join(meat, names).select(*names, "n", "coef", "inv", "r2", "lag", "meat")
+    return _significance(_sandwich(joined, names, k), k)
+
+
+def _sandwich(joined: DataFrame, names: Sequence[str], k: int) -> DataFrame:
+    """Standard errors from ``inv`` and ``meat`` of each row (keys, n, coef, inv, r2, lag, meat)."""
+    types = dict(joined.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -114,9 +134,8 @@ def ols_newey_west(df: DataFrame, y: str, xs: Sequence[str], *, keys: Sequence[s
                 ses.append(np.sqrt(np.maximum(np.diag(inv @ s @ inv), 0)).tolist())
             yield pdf[[*names, "n", "coef", "r2", "lag"]].assign(se=ses)
 
-    joined = fit.withColumn("lag", newey_west_lag(F.col("n")).cast("int")).join(meat, names).select(*names, "n", "coef", "inv", "r2", "lag", "meat")
     schema = ", ".join(f"{c} {types[c]}" for c in names) + ", n long, coef array<double>, r2 double, lag int, se array<double>"
-    return _significance(joined.mapInPandas(run, schema), k)
+    return joined.mapInPandas(run, schema)
 
 
 def _significance(out: DataFrame, k: int) -> DataFrame:
@@ -127,11 +146,10 @@ def _significance(out: DataFrame, k: int) -> DataFrame:
     return out.withColumn("pvalue", F.array(*[f"_p{i}" for i in range(k)])).drop(*[f"_p{i}" for i in range(k)])
 
 
-def huber_newey_west(df: DataFrame, y: str, xs: Sequence[str], *, keys: Sequence[str], order: Sequence[str] = ("ts",), steps: int = 50) -> DataFrame:
-    """Huber regression by reweighting (scale from the median absolute residual), Newey–West errors on
-    the weighted residuals, pseudo-R². One calendar-bounded series per group."""
+def _huber_groups(valid: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], order: Sequence[str], steps: int) -> DataFrame:
+    """The fit of short series, each in one group."""
     k, names, ordering, regressors = len(xs) + 1, list(keys), list(order), list(xs)
-    types = dict(df.dtypes)
+    types = dict(valid.dtypes)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(ordering, kind="stable")
@@ -143,7 +161,7 @@ def huber_newey_west(df: DataFrame, y: str, xs: Sequence[str], *, keys: Sequence
         b = np.linalg.lstsq(x, v, rcond=None)[0]
         for _ in range(steps):
             r = v - x @ b
-            scale = np.median(np.abs(r)) / 0.6744897501960817
+            scale = np.median(np.abs(r)) / MAD
             if scale <= 0:
                 break
             weights = np.minimum(1.0, HUBER_C * scale / np.maximum(np.abs(r), 1e-300))
@@ -164,9 +182,76 @@ def huber_newey_west(df: DataFrame, y: str, xs: Sequence[str], *, keys: Sequence
         row = {c: group[c].iat[0] for c in names} | {"n": n, "coef": b.tolist(), "r2": 1 - (r @ r) / total if total > 0 else None, "se": se.tolist()}
         return pd.DataFrame([row])
 
-    valid = df.where(" and ".join(f"{c} is not null" for c in [y, *xs])).select(*keys, *order, y, *xs)
     schema = ", ".join(f"{c} {types[c]}" for c in names) + ", n long, coef array<double>, r2 double, se array<double>"
-    return _significance(valid.groupBy(*keys).applyInPandas(run, schema), k)
+    return valid.groupBy(*keys).applyInPandas(run, schema)
+
+
+def _huber_passes(valid: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], order: Sequence[str], steps: int) -> DataFrame:
+    """The fit of long series: each pass is an exact median of residuals and one aggregation of weighted products.
+
+    Of a series only coefficients go from pass to pass: ``coef`` now, ``wcoef`` and ``scale`` that its weights are from.
+    """
+    k, names, terms = len(xs) + 1, list(keys), _terms(xs)
+    types = dict(valid.dtypes)
+    rows = cut_lineage(valid)
+    named = ", ".join(f"{c} {types[c]}" for c in names)
+    nothing = F.lit(None)
+    fit = ols(rows, y, xs, keys=keys).select(*names, "n", "coef", nothing.cast("array<double>").alias("wcoef"), nothing.cast("double").alias("scale"), F.lit(False).alias("done"))
+    state = cut_lineage(fit)
+
+    def fitted(coef: str) -> Column:
+        return sum((F.col(coef)[i] * t for i, t in enumerate(terms[1:], 1)), F.col(coef)[0])
+
+    def weight(coef: str, scale: str) -> Column:
+        return F.least(F.lit(1.0), HUBER_C * F.col(scale) / F.greatest(F.abs(F.col(y) - fitted(coef)), F.lit(1e-300)))
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made, ends = [], []
+            for xx, xy, coef in zip(pdf["xx"], pdf["xy"], pdf["coef"], strict=True):
+                b = np.linalg.lstsq(np.array(xx, float).reshape(k, k), np.array(xy, float), rcond=None)[0]
+                made.append(b.tolist())
+                ends.append(bool(np.max(np.abs(b - np.array(coef, float))) < 1e-8))
+            yield pdf[[*names, "n"]].assign(coef=made, wcoef=pdf["coef"], scale=pdf["scale"], done=ends)
+
+    columns = f"{named}, n long, coef array<double>, wcoef array<double>, scale double, done boolean"
+    for _ in range(steps):
+        going = state.where("not done")
+        if going.isEmpty():
+            break
+        met = rows.join(going.select(*names, "n", "coef"), names)
+        medians = percentiles(met.select(*names, F.abs(F.col(y) - fitted("coef")).alias("_a")), names, "_a", {"_m": 0.5}).select(*names, (F.col("_m") / MAD).alias("scale"))
+        weighted = met.join(medians.where("scale > 0"), names).withColumn("_w", weight("coef", "scale"))
+        sums = weighted.groupBy(*names, "n", "coef", "scale").agg(
+            F.array(*[F.sum(F.col("_w") * a * b) for a in terms for b in terms]).alias("xx"), F.array(*[F.sum(F.col("_w") * a * F.col(y)) for a in terms]).alias("xy")
+        )
+        flat = going.join(medians.where("scale > 0"), names, "left_anti").withColumn("done", F.lit(True)).select(*state.columns)
+        state = cut_lineage(state.where("done").unionByName(flat).unionByName(sums.mapInPandas(solved, columns)))
+
+    used = F.when(F.col("wcoef").isNull(), 1.0).otherwise(weight("wcoef", "scale"))
+    full = rows.join(state.drop("done"), names).withColumns({"_w": used, "_r": F.col(y) - fitted("coef")})
+    whole = full.groupBy(*names, "n", "coef").agg(
+        F.array(*[F.sum(F.col("_w") * a * b) for a in terms for b in terms]).alias("xx"), (1 - F.sum(F.col("_r") * F.col("_r")) / F.nullif(F.var_pop(y) * F.count(F.lit(1)), F.lit(0.0))).alias("r2")
+    )
+
+    def inverted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[*names, "n", "coef", "r2"]].assign(inv=[np.linalg.pinv(np.array(m, float).reshape(k, k)).ravel().tolist() for m in pdf["xx"]])
+
+    meat = _bartlett(full, [t * F.col("_w") * F.col("_r") for t in terms], names, order)
+    bread = whole.mapInPandas(inverted, f"{named}, n long, coef array<double>, r2 double, inv array<double>").withColumn("lag", newey_west_lag(F.col("n")).cast("int"))
+    return _sandwich(bread.join(meat, names).select(*names, "n", "coef", "inv", "r2", "lag", "meat"), names, k).drop("lag")
+
+
+def huber_newey_west(df: DataFrame, y: str, xs: Sequence[str], *, keys: Sequence[str], order: Sequence[str] = ("ts",), steps: int = 50, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Huber regression by reweighting (scale from the median absolute residual), Newey–West errors on
+    the weighted residuals, pseudo-R². Series of over ``group_rows`` rows are fitted by passes over all tasks."""
+    valid = df.where(" and ".join(f"{c} is not null" for c in [y, *xs])).select(*keys, *order, y, *xs)
+    long = cut_lineage(valid.groupBy(*keys).count().where(F.col("count") > group_rows).select(*keys))
+    fit = _huber_groups(valid.join(long, list(keys), "left_anti"), y, xs, keys, order, steps)
+    if not long.isEmpty():
+        fit = fit.unionByName(_huber_passes(valid.join(long, list(keys), "left_semi"), y, xs, keys, order, steps))
+    return _significance(fit, len(xs) + 1)
 
 
 # ── factors ────────────────────────────────────────────────────────────────────────────────

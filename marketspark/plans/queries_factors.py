@@ -10,11 +10,30 @@ from marketspark.operators import learn, metrics, regress, stats
 from marketspark.operators.asof import bucket_lookup
 from marketspark.plans.queries_pnl import LEDGER, cross_target, trades_of
 from marketspark.plans.queries_stats import _IC_CTES, _scored
+from marketspark.operators.ranks import percentiles
 from marketspark.plans.registry import query
 from marketspark.plans.sqlkit import with_
 from marketspark.sources.tables import Tables
 
 LB, SKIP = 12, 2
+FACTORS = ("mkt", "smb", "umd")
+
+
+def _fit_sql(src: str, key: str, y: str, moments: str = "mm", fit: str = "cf") -> dict[str, str]:
+    """CTEs with the regression of ``y`` on the three factors for each ``key``: means and covariances, Cramer's rule."""
+    x = dict(zip("123", FACTORS))
+    means = ", ".join(f"avg({c}) AS m{k}, var_pop({c}) AS v{k}, covar_pop({y}, {c}) AS c{k}" for k, c in x.items())
+    cross = ", ".join(f"covar_pop({x[p]}, {x[q]}) AS c{p}{q}" for p, q in ("12", "13", "23"))
+    return {
+        moments: f"SELECT {key}, count(*) AS n, avg({y}) AS my, var_pop({y}) AS vy, {means}, {cross} FROM {src} GROUP BY 1",
+        fit: f"""SELECT *, my - b1 * m1 - b2 * m2 - b3 * m3 AS alpha, (b1 * c1 + b2 * c2 + b3 * c3) / vy AS r2 FROM (SELECT *,
+        (c1 * (v2 * v3 - c23 * c23) - c12 * (c2 * v3 - c23 * c3) + c13 * (c2 * c23 - v2 * c3)) / det AS b1,
+        (v1 * (c2 * v3 - c23 * c3) - c1 * (c12 * v3 - c23 * c13) + c13 * (c12 * c3 - c2 * c13)) / det AS b2,
+        (v1 * (v2 * c3 - c2 * c23) - c12 * (c12 * c3 - c2 * c13) + c1 * (c12 * c23 - v2 * c13)) / det AS b3
+        FROM (SELECT *, v1 * (v2 * v3 - c23 * c23) - c12 * (c12 * v3 - c23 * c13) + c13 * (c12 * c23 - v2 * c13) AS det FROM {moments}))""",
+    }
+
+
 _FACT = {
     "cal": "SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS t FROM (SELECT DISTINCT ts FROM panel)",
     "pt": "SELECT p.*, t FROM panel p JOIN cal USING (ts)",
@@ -26,10 +45,9 @@ _FACT = {
     WINDOW w AS (PARTITION BY symbol ORDER BY t RANGE BETWEEN {LB + SKIP} PRECEDING AND {SKIP + 1} PRECEDING)""",
     "mc": "SELECT ts, quantile_cont(past, 0.2) AS lo, quantile_cont(past, 0.8) AS hi FROM mv WHERE past IS NOT NULL GROUP BY 1 HAVING count(*) >= 10",
     "mo": "SELECT s.ts, avg(ret) FILTER (past >= hi) - avg(ret) FILTER (past <= lo) AS umd FROM mv s JOIN mc USING (ts) WHERE past IS NOT NULL GROUP BY 1",
-    "fx": "SELECT ts, mkt, smb FROM mk JOIN sz USING (ts)",
-    "jn": "SELECT p.symbol, p.ts, p.ret, p.volume, mkt, smb FROM panel p JOIN fx USING (ts)",
-    "mm": """SELECT symbol, count(*) AS n, avg(ret) AS my, avg(mkt) AS m1, avg(smb) AS m2, var_pop(mkt) AS v1, var_pop(smb) AS v2, var_pop(ret) AS vy, covar_pop(mkt, smb) AS c12, covar_pop(ret, mkt) AS c1, covar_pop(ret, smb) AS c2 FROM jn GROUP BY 1""",
-    "cf": "SELECT *, my - b1 * m1 - b2 * m2 AS alpha, (b1 * c1 + b2 * c2) / vy AS r2 FROM (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM mm)",
+    "fx": "SELECT ts, mkt, smb, umd FROM mk JOIN sz USING (ts) JOIN mo USING (ts)",
+    "jn": "SELECT p.symbol, p.ts, p.ret, p.volume, mkt, smb, umd FROM panel p JOIN fx USING (ts)",
+    **_fit_sql("jn", "symbol", "ret"),
 }
 
 
@@ -49,52 +67,71 @@ def _(t: Tables) -> DataFrame:
 
 
 def _factors(t: Tables) -> DataFrame:
-    return regress.market_factor(t.panel).join(regress.size_factor(t.panel, LB), "ts")
+    return regress.market_factor(t.panel).join(regress.size_factor(t.panel, LB), "ts").join(regress.momentum_factor(t.panel, LB, SKIP), "ts")
 
 
 def _joined(t: Tables) -> DataFrame:
     return t.panel.join(_factors(t), "ts")
 
 
-@query("join_09_factor_alignment", "symbol ts", "ret mkt smb", with_("panel", "SELECT * FROM jn", **_FACT))
+@query("join_09_factor_alignment", "symbol ts", "ret mkt smb umd", with_("panel", "SELECT * FROM jn", **_FACT))
 def _(t: Tables) -> DataFrame:
     return _joined(t)
 
 
-@query("reg_01_ols", "symbol n", "alpha b1 b2 r2", with_("panel", "SELECT * FROM cf", **_FACT))
+def _regressed(t: Tables) -> DataFrame:
+    return _joined(t).select("symbol", "ts", "ret", *FACTORS)
+
+
+_B = {f"b{k}": k for k in (1, 2, 3)}
+
+
+@query("reg_01_ols", "symbol n", "alpha b1 b2 b3 r2", with_("panel", "SELECT * FROM cf", **_FACT))
+def _(t: Tables) -> DataFrame:
+    fit = regress.ols(_regressed(t), "ret", FACTORS, keys=["symbol"])
+    return fit.withColumns({"alpha": F.col("coef")[0]} | {b: F.col("coef")[k] for b, k in _B.items()})
+
+
+@query("reg_01_newey_west", "symbol n lag", "alpha se_alpha t_mkt p_mkt t_smb p_smb t_umd p_umd")
 def _(t: Tables) -> DataFrame:
-    fit = regress.ols(_joined(t).select("symbol", "ts", "ret", "mkt", "smb"), "ret", ["mkt", "smb"], keys=["symbol"])
-    return fit.withColumns({"alpha": F.col("coef")[0], "b1": F.col("coef")[1], "b2": F.col("coef")[2]})
+    fit = regress.ols_newey_west(_regressed(t), "ret", FACTORS, keys=["symbol"])
+    tests = {f"{s}_{f}": F.col(c)[k] for k, f in enumerate(FACTORS, 1) for s, c in (("t", "tstat"), ("p", "pvalue"))}
+    return fit.withColumns({"alpha": F.col("coef")[0], "se_alpha": F.col("se")[0]} | tests)
 
 
-@query("reg_01_newey_west", "symbol n lag", "alpha se_alpha t_mkt p_mkt t_smb p_smb")
+@query("reg_02_huber", "symbol n", "alpha b1 b2 b3 r2 t_mkt")
 def _(t: Tables) -> DataFrame:
-    fit = regress.ols_newey_west(_joined(t).select("symbol", "ts", "ret", "mkt", "smb"), "ret", ["mkt", "smb"], keys=["symbol"])
-    return fit.withColumns(
-        {"alpha": F.col("coef")[0], "se_alpha": F.col("se")[0], "t_mkt": F.col("tstat")[1], "p_mkt": F.col("pvalue")[1], "t_smb": F.col("tstat")[2], "p_smb": F.col("pvalue")[2]}
-    )
+    fit = regress.huber_newey_west(_regressed(t), "ret", FACTORS, keys=["symbol"])
+    return fit.withColumns({"alpha": F.col("coef")[0], "t_mkt": F.col("tstat")[1]} | {b: F.col("coef")[k] for b, k in _B.items()})
 
 
-@query("reg_02_huber", "symbol n", "alpha b1 b2 r2 t_mkt")
+@query("reg_02_huber_equation", "symbol n", "e0 e1 e2 e3", with_("panel", "SELECT symbol, n, 0 AS e0, 0 AS e1, 0 AS e2, 0 AS e3 FROM mm WHERE n >= 6", **_FACT), digits=5)
 def _(t: Tables) -> DataFrame:
-    fit = regress.huber_newey_west(_joined(t).select("symbol", "ts", "ret", "mkt", "smb"), "ret", ["mkt", "smb"], keys=["symbol"])
-    return fit.withColumns({"alpha": F.col("coef")[0], "b1": F.col("coef")[1], "b2": F.col("coef")[2], "t_mkt": F.col("tstat")[1]})
+    """Σ ψ(r / s)·x of the Huber fit, over Σ |ψ(r / s)·x|: zero where it solves its equation."""
+    rows = _regressed(t)
+    fit = regress.huber_newey_west(rows, "ret", FACTORS, keys=["symbol"])
+    resid = regress.residuals(rows, fit, "ret", FACTORS, keys=["symbol"]).where("resid is not null")
+    scale = percentiles(resid.withColumn("_a", F.abs("resid")), ["symbol"], "_a", {"m": 0.5})
+    psi = F.greatest(F.lit(-regress.HUBER_C), F.least(F.lit(regress.HUBER_C), F.col("resid") / (F.col("m") / regress.MAD)))
+    terms = [F.lit(1.0), *[F.col(f) for f in FACTORS]]
+    sums = resid.join(scale.select("symbol", "m"), "symbol").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), *[(F.sum(psi * x) / F.sum(F.abs(psi * x))).alias(f"e{k}") for k, x in enumerate(terms)])
+    return sums
 
 
 @query(
     "reg_03_decomposition",
     "symbol n",
-    "alpha alpha_annual beta_mkt beta_smb r2 resid_autocorr",
+    "alpha alpha_annual beta_mkt beta_smb beta_umd r2 resid_autocorr",
     with_(
         "panel",
-        "SELECT symbol, n, alpha, alpha * 13 AS alpha_annual, b1 AS beta_mkt, b2 AS beta_smb, r2, ac AS resid_autocorr FROM cf JOIN a USING (symbol)",
+        "SELECT symbol, n, alpha, alpha * 13 AS alpha_annual, b1 AS beta_mkt, b2 AS beta_smb, b3 AS beta_umd, r2, ac AS resid_autocorr FROM cf JOIN a USING (symbol)",
         **_FACT,
-        e="SELECT j.symbol, j.ts, ret - alpha - b1 * mkt - b2 * smb AS e FROM jn j JOIN cf USING (symbol)",
+        e="SELECT j.symbol, j.ts, ret - alpha - b1 * mkt - b2 * smb - b3 * umd AS e FROM jn j JOIN cf USING (symbol)",
         a="SELECT symbol, sum(c * l) / sum(c * c) AS ac FROM (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY ts) AS l FROM (SELECT *, e - avg(e) OVER (PARTITION BY symbol) AS c FROM e)) GROUP BY 1",
     ),
 )
 def _(t: Tables) -> DataFrame:
-    return regress.decompose(t.panel, _factors(t), ["mkt", "smb"], 13.0)
+    return regress.decompose(t.panel, _factors(t), FACTORS, 13.0)
 
 
 _SCORE_ROWS = " UNION ALL ".join(f"SELECT ts, '{s}' AS signal, avg({c}) AS score FROM panel GROUP BY 1" for s, c in {"mean": "ret", "size": "ret * volume", "breadth": "CASE WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0 END"}.items())
@@ -112,30 +149,30 @@ def _scores(t: Tables) -> DataFrame:
     "score residual",
     with_(
         "panel",
-        "SELECT s.signal, s.ts, score, score - (my - b * mx) - b * mkt AS residual FROM sj s JOIN k USING (signal)",
+        "SELECT s.signal, s.ts, score, score - alpha - b1 * mkt - b2 * smb - b3 * umd AS residual FROM sj s JOIN sf USING (signal)",
         **_FACT,
         s=_SCORE_ROWS,
-        sj="SELECT s.*, mkt FROM s JOIN mk USING (ts)",
-        k="SELECT signal, regr_slope(score, mkt) AS b, avg(score) AS my, avg(mkt) AS mx FROM sj GROUP BY 1",
+        sj="SELECT s.*, mkt, smb, umd FROM s JOIN fx USING (ts)",
+        **_fit_sql("sj", "signal", "score", "sm", "sf"),
     ),
 )
 def _(t: Tables) -> DataFrame:
-    return regress.orthogonalise(_scores(t), regress.market_factor(t.panel), ["mkt"])
+    return regress.orthogonalise(_scores(t), _factors(t), FACTORS)
 
 
 @query(
     "agg_21_factor_attribution",
     "symbol n",
-    "alpha_usd mkt_usd smb_usd residual_usd gross_usd r2",
+    "alpha_usd mkt_usd smb_usd umd_usd residual_usd gross_usd r2",
     with_(
         "panel",
-        """SELECT symbol, count(*) AS n, sum(alpha * volume) AS alpha_usd, sum(b1 * mkt * volume) AS mkt_usd, sum(b2 * smb * volume) AS smb_usd, sum((ret - alpha - b1 * mkt - b2 * smb) * volume) AS residual_usd, sum(ret * volume) AS gross_usd, any_value(r2) AS r2
-        FROM (SELECT j.*, alpha, b1, b2, r2 FROM jn j JOIN cf USING (symbol)) GROUP BY 1""",
+        """SELECT symbol, count(*) AS n, sum(alpha * volume) AS alpha_usd, sum(b1 * mkt * volume) AS mkt_usd, sum(b2 * smb * volume) AS smb_usd, sum(b3 * umd * volume) AS umd_usd, sum((ret - alpha - b1 * mkt - b2 * smb - b3 * umd) * volume) AS residual_usd, sum(ret * volume) AS gross_usd, any_value(r2) AS r2
+        FROM (SELECT j.*, alpha, b1, b2, b3, r2 FROM jn j JOIN cf USING (symbol)) GROUP BY 1""",
         **_FACT,
     ),
 )
 def _(t: Tables) -> DataFrame:
-    return regress.attribute_returns(t.panel, _factors(t), ["mkt", "smb"], notional=F.col("volume"))
+    return regress.attribute_returns(t.panel, _factors(t), FACTORS, notional=F.col("volume"))
 
 
 @query("cmb_01_max_ir_weights", "signal", "weight")
