@@ -1,6 +1,7 @@
 """Exact order statistics and ranks of groups of any size.
 
-Spark's exact ``percentile`` keeps a whole group's values in one buffer. Here a group is first
+Spark's exact ``percentile`` keeps a whole group's values in one buffer. Here groups are counted first. A group
+of up to ``RANGE_ROWS`` rows is ordered in one place, with one exchange for all its values; a larger one is
 split in value ranges (edges from a small quantile sketch, about one for each ``RANGE_ROWS`` rows), the
 ranges are counted, and rows are ordered inside their range, each range in its own task. A value that
 fills whole ranges is a range of its own and needs no order; its rows are spread. Sketch errors
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketspark.session import cut_lineage
+
 #: Rows of a range, roughly, and the most ranges that a group is cut in.
 RANGE_ROWS, RANGES = 20_000, 1024
 
@@ -48,6 +51,19 @@ def _cut(df: DataFrame, keys: Sequence[str], values: Sequence[str], range_rows:
     return tagged, sizes.groupBy(*keys, "n").agg(*maps)
 
 
+def _by_size(rows: DataFrame, keys: Sequence[str], range_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the groups of up to ``range_rows`` rows, and those of larger ones (None if there are none)."""
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > range_rows)
+    large = cut_lineage(counted.drop("_size") if keys else counted)
+    if large.isEmpty():
+        return rows, None
+    if not keys:
+        return rows.limit(0), rows
+    same = [F.col(k).eqNullSafe(F.col(f"_l{i}")) for i, k in enumerate(keys)]
+    named = large.select(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)])
+    return rows.join(named, same, "left_anti"), rows.join(named, same, "left_semi")
+
+
 def _spread(row: Sequence[str], r: str) -> Column:
     """Rows of a value that fills its range go to several tasks; there is no order among them."""
     return F.when(F.col(r) % 2 == 1, F.pmod(F.xxhash64(*row), F.lit(256))).otherwise(F.lit(0))
@@ -56,6 +72,15 @@ def _spread(row: Sequence[str], r: str) -> Column:
 def value_at_rank(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], range_rows: int = RANGE_ROWS) -> DataFrame:
     """For each group the value at each 1-based rank; the ranks may use ``n``, the group size."""
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value))
+    short, long = _by_size(rows, keys, range_rows)
+    if keys or long is None:
+        sorted_ = short.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(value)).alias("_v")).where("n > 0")
+        out = sorted_.select(*keys, *[F.try_element_at("_v", r.cast("int")).alias(o) for o, r in ranks.items()], "n")
+        return out if long is None else out.unionByName(_value_at_rank(long, keys, value, ranks, range_rows))
+    return _value_at_rank(long, keys, value, ranks, range_rows)
+
+
+def _value_at_rank(rows: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], range_rows: int) -> DataFrame:
     tagged, groups = _cut(rows, keys, [value], range_rows)
     # the ranges that hold a wanted rank: a few rows a group
     ranges = groups.select(*keys, "n", F.explode("_m0").alias("_r0", "_m"))
@@ -73,22 +98,32 @@ def value_at_rank(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[st
 def average_ranks(df: DataFrame, keys: Sequence[str], values: dict[str, str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add average-tie ranks within each group: ``{value column: rank column}``; rows without a value are left out.
 
-    Rows are carried through: one exchange for each ranked column.
+    Rows are carried through: one exchange for all columns of short groups, one for each ranked column of long ones.
     """
-    names = list(values)
-    rows = df.where(" and ".join(f"{v} is not null" for v in names))
+    rows = df.where(" and ".join(f"{v} is not null" for v in values))
+    short, long = _by_size(rows, keys, range_rows)
+    out = short
+    for v, rank in values.items():
+        ordered = Window.partitionBy(*keys).orderBy(v)
+        ties = F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+        out = out.withColumn(rank, F.rank().over(ordered) + (ties - 1) / 2)
+    return out if long is None else out.unionByName(_average_ranks(long, keys, values, range_rows))
+
+
+def _average_ranks(rows: DataFrame, keys: Sequence[str], values: dict[str, str], range_rows: int) -> DataFrame:
+    names, columns = list(values), rows.columns
     tagged, groups = _cut(rows, keys, names, range_rows)
     out = tagged.drop("n").join(groups.drop("n"), list(keys)) if keys else tagged.drop("n").crossJoin(F.broadcast(groups.drop("n")))
     for i, v in enumerate(names):
         r = f"_r{i}"
         place = F.element_at(f"_m{i}", F.col(r))
-        out = out.withColumns({"_below": place["below"], "_rows": place["rows"], "_s": _spread(df.columns, r)})
+        out = out.withColumns({"_below": place["below"], "_rows": place["rows"], "_s": _spread(columns, r)})
         # said outright, as the join before has the rows of a group together
         out = out.repartition(*keys, r, "_s")
         inside = Window.partitionBy(*keys, r, "_s")
         ordered = F.rank().over(inside.orderBy(v)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, r, "_s", v)) - 1) / 2
         out = out.withColumn(values[v], F.col("_below") + F.when(F.col(r) % 2 == 1, (F.col("_rows") + 1) / 2).otherwise(ordered))
-    return out.select(*df.columns, *values.values())
+    return out.select(*columns, *values.values())
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
