@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from marketspark.session import cut_lineage
 
 #: Rows of a range, roughly, and the most ranges that a group is cut in.
-RANGE_ROWS, RANGES = 20_000, 1024
+RANGE_ROWS, RANGES = 500_000, 1024
 
 
 def _any(conditions: list[Column]) -> Column:

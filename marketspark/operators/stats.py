@@ -23,8 +23,8 @@ from marketspark.operators.ranks import average_ranks
 from marketspark.operators.series import series_window
 
 EULER_MASCHERONI = 0.5772156649015329  # fixed value
-#: Resampled values that a task holds at a time.
-CELLS = 1 << 20
+#: Resampled values that a task holds at a time, and that a chunk of draws makes at most (but for one draw).
+CELLS, CHUNK_CELLS = 1 << 18, 1 << 23
 
 
 def block_length(returns: DataFrame, *, keys: Sequence[str] = ("symbol",), ret: str = "ret") -> DataFrame:
@@ -69,18 +69,22 @@ def resample(
     keys: Sequence[str],
     order: Sequence[str],
     times: int,
-    chunk: int = 250,
     seed: int = 7,
 ) -> DataFrame:
-    """Run ``measure(values, rng, draws, group)`` for every key and chunk of draws; one row per draw."""
-    chunks = math.ceil(times / chunk)
-    sent = df.select(*keys, *order, *columns).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    """Run ``measure(values, rng, draws, group)`` for every key and chunk of draws; one row per draw.
+
+    A short series makes all its draws in one chunk, a long one is sent to as many as its length asks for.
+    """
+    per_chunk = F.greatest(F.lit(1), F.least(F.lit(times), F.floor(F.lit(CHUNK_CELLS) / F.count(F.lit(1))))).cast("int")
+    sizes = df.groupBy(*keys).agg(per_chunk.alias("_draws"))
+    placed = df.join(sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_draws"), [df[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]) if keys else df.crossJoin(F.broadcast(sizes))
+    sent = placed.select(*keys, *order, *columns, "_draws", F.explode(F.sequence(F.lit(0), (F.ceil(F.lit(times) / F.col("_draws")) - 1).cast("int"))).alias("_chunk"))
     names, ordering, value_names = list(keys), list(order), list(columns)
     outs = list(out)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(ordering, kind="stable")
-        number = int(group["_chunk"].iat[0])
+        number, chunk = int(group["_chunk"].iat[0]), int(group["_draws"].iat[0])
         draws = min(chunk, times - number * chunk)
         rng = np.random.default_rng([seed, number])
         values = group[value_names].to_numpy(dtype=float)
@@ -122,42 +126,57 @@ def bootstrap_metrics(returns: DataFrame, periods: float, *, keys: Sequence[str]
     return resample(sample, [ret, "block"], measure, out, keys=keys, order=["ts"], times=times, seed=seed)
 
 
+def _quantiles(draws: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Column, float]], aggs: Sequence[Column] = ()) -> DataFrame:
+    """Interpolated quantiles ``{name: (value, q)}`` of the draws of a key (a bounded number of rows): each value is sorted once."""
+    values = list(dict.fromkeys(str(v) for v, _ in wanted.values()))
+    by_name = {str(v): v for v, _ in wanted.values()}
+    made = draws.groupBy(*keys).agg(*[F.sort_array(F.collect_list(by_name[v])).alias(f"_s{i}") for i, v in enumerate(values)], *aggs)
+    cols = {}
+    for out, (v, q) in wanted.items():
+        at = F.col(f"_s{values.index(str(v))}")
+        place = (F.size(at) - 1) * F.lit(q)
+        low, high = F.get(at, F.floor(place).cast("int")), F.get(at, F.ceil(place).cast("int"))
+        cols[out] = F.when(F.size(at) > 0, low + (place - F.floor(place)) * (high - low))
+    return made.withColumns(cols).drop(*[f"_s{i}" for i in range(len(values))])
+
+
 def intervals(draws: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("symbol",), low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Percentile interval of each metric over the draws of a key (a bounded number of rows)."""
-    aggs = []
+    wanted = {}
     for m in metrics:
         finite = F.when(~F.isnan(m) & (F.abs(m) < float("inf")), F.col(m))
-        aggs += [F.percentile(finite, low).alias(f"{m}_lo"), F.percentile(finite, high).alias(f"{m}_hi")]
-    return draws.groupBy(*keys).agg(*aggs)
+        wanted |= {f"{m}_lo": (finite, low), f"{m}_hi": (finite, high)}
+    return _quantiles(draws, keys, wanted)
 
 
 def trade_bootstrap(trades: DataFrame, periods: float, *, keys: Sequence[str] = ("symbol",), times: int = 10_000, seed: int = 42) -> DataFrame:
     """Paths of resampled trade returns (``pnl_pct``): final return, worst drawdown and Sharpe of each."""
 
     def measure(values: np.ndarray, rng: np.random.Generator, draws: int, group: pd.DataFrame) -> dict[str, np.ndarray]:
+        # a row is a step of all paths: running products go along whole rows, in place
         r = values[:, 0] / 100
-        drawn = r[rng.integers(0, len(r), (draws, len(r)))]
-        path = np.cumprod(1 + drawn, axis=1)
+        drawn = r[rng.integers(0, len(r), (len(r), draws), dtype=np.int32)]
+        steps = drawn[1:] if len(r) > 1 else np.zeros((1, draws))
+        mean = steps.mean(axis=0)
+        sd = np.sqrt(np.maximum(np.einsum("ij,ij->j", steps, steps) / len(steps) - mean * mean, 0))
+        drawn += 1
+        path = np.multiply.accumulate(drawn, axis=0, out=drawn)
+        final = path[-1].copy()
         with np.errstate(divide="ignore", invalid="ignore"):
-            drawdown = (path / np.maximum.accumulate(path, axis=1) - 1).min(axis=1) * 100
-            steps = drawn[:, 1:] if len(r) > 1 else np.zeros((draws, 1))
-            sd = steps.std(axis=1)
-            sharpe = steps.mean(axis=1) / np.where(sd == 0, 1e-10, sd) * math.sqrt(periods)
-        return {"return_pct": (path[:, -1] - 1) * 100, "drawdown_pct": drawdown, "sharpe": sharpe}
+            peak = np.maximum.accumulate(path, axis=0)
+            drawdown = (np.divide(path, peak, out=path).min(axis=0) - 1) * 100
+        sharpe = mean / np.where(sd < 1e-15, 1e-10, sd) * math.sqrt(periods)
+        return {"return_pct": (final - 1) * 100, "drawdown_pct": drawdown, "sharpe": sharpe}
 
-    return resample(trades, ["pnl_pct"], measure, {"return_pct": "double", "drawdown_pct": "double", "sharpe": "double"}, keys=keys, order=["entry_ts"], times=times, chunk=1000, seed=seed)
+    return resample(trades, ["pnl_pct"], measure, {"return_pct": "double", "drawdown_pct": "double", "sharpe": "double"}, keys=keys, order=["entry_ts"], times=times, seed=seed)
 
 
 def trade_bootstrap_summary(draws: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Percentiles of return and drawdown, probability of profit and of a drawdown beyond 50 %, median Sharpe."""
-    aggs = [F.percentile("return_pct", q / 100).alias(f"p{q}") for q in (5, 10, 25, 50, 75, 90, 95)]
-    aggs += [F.percentile("drawdown_pct", q / 100).alias(f"dd_p{q}") for q in (5, 25, 50, 75, 95)]
-    return draws.groupBy(*keys).agg(
-        *aggs,
-        F.avg(F.when(F.col("return_pct") > 0, 100.0).otherwise(0.0)).alias("prob_profit"),
-        F.avg(F.when(F.col("drawdown_pct") < -50, 100.0).otherwise(0.0)).alias("prob_ruin"),
-        F.percentile("sharpe", 0.5).alias("median_sharpe"),
-    )
+    wanted = {f"p{q}": (F.col("return_pct"), q / 100) for q in (5, 10, 25, 50, 75, 90, 95)}
+    wanted |= {f"dd_p{q}": (F.col("drawdown_pct"), q / 100) for q in (5, 25, 50, 75, 95)} | {"median_sharpe": (F.col("sharpe"), 0.5)}
+    shares = {"prob_profit": F.col("return_pct") > 0, "prob_ruin": F.col("drawdown_pct") < -50}
+    return _quantiles(draws, keys, wanted, [F.avg(F.when(c, 100.0).otherwise(0.0)).alias(n) for n, c in shares.items()])
 
 
 def sign_flip_test(trades: DataFrame, *, keys: Sequence[str] = ("symbol",), times: int = 10_000, seed: int = 42) -> DataFrame:
@@ -168,7 +187,7 @@ def sign_flip_test(trades: DataFrame, *, keys: Sequence[str] = ("symbol",), time
         sd = flipped.std(axis=1, ddof=1) if len(values) > 1 else np.zeros(draws)
         return {"total": flipped.sum(axis=1), "sharpe": np.where(sd > 0, flipped.mean(axis=1) / np.where(sd > 0, sd, 1) * math.sqrt(252), 0.0)}
 
-    draws = resample(trades, ["pnl_pct"], measure, {"total": "double", "sharpe": "double"}, keys=keys, order=["entry_ts"], times=times, chunk=1000, seed=seed)
+    draws = resample(trades, ["pnl_pct"], measure, {"total": "double", "sharpe": "double"}, keys=keys, order=["entry_ts"], times=times, seed=seed)
     real = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("pnl_pct").alias("_real"), F.avg("pnl_pct").alias("_m"), F.stddev_samp("pnl_pct").alias("_s"))
     joined = draws.join(real, list(keys))
     out = joined.groupBy(*keys).agg(
