@@ -863,8 +863,31 @@ def label_shares(labelled: DataFrame, label: str, keys: Sequence[str] = KEYS) ->
 # averages start from an SMA seed or from the first value, deviations are samples.
 
 
-def library_set(bars: DataFrame, axis: Axis = Axis(), *, length: int = 20, rsi_length: int = 14) -> DataFrame:
-    """Stable-named columns: sma, ema, wma, rsi, macd*, stoch*, atr, bb_*, obv, zscore. ADX with its DI, and Supertrend, are missing here."""
+def _library_supertrend(df: DataFrame, axis: Axis, multiplier: float) -> DataFrame:
+    """Band that trails the trend, and its direction: a close beyond the band of the bar before turns it."""
+
+    def step(state, row):
+        direction, upper, lower = state
+        high, low, close, width = row
+        new_up = None if width is None else (high + low) / 2 + multiplier * width
+        new_low = None if width is None else (high + low) / 2 - multiplier * width
+        if upper is not None:
+            if close > upper:
+                direction = 1.0
+            elif close < lower:
+                direction = -1.0
+            elif direction > 0:
+                new_low = max(new_low, lower)
+            else:
+                new_up = min(new_up, upper)
+        return (direction, new_up, new_low), (new_low if direction > 0 else new_up, direction)
+
+    schema = T.StructType([T.StructField("supertrend", T.DoubleType()), T.StructField("supertrend_direction", T.DoubleType())])
+    return ordered_fold(df, lambda: (1.0, None, None), step, ["high", "low", "close", "_width"], schema, keys=axis.keys, order=axis.order)
+
+
+def library_set(bars: DataFrame, axis: Axis = Axis(), *, length: int = 20, rsi_length: int = 14, trend_length: int = 7, multiplier: float = 3.0) -> DataFrame:
+    """Stable-named columns: sma, ema, wma, rsi, macd*, stoch*, atr, bb_*, obv, zscore, adx with dmp and dmn, supertrend with supertrend_direction."""
     named = {
         "sma": ("sma", {"period": length}),
         "ema": ("ema", {"period": length}),
@@ -882,10 +905,21 @@ def library_set(bars: DataFrame, axis: Axis = Axis(), *, length: int = 20, rsi_l
     df = df.withColumns({"_mv": move, "_tr": true_range(w), "_i": F.row_number().over(w)})
     # Wilder averages from the first value on (adjust=False), shown once ``length`` values are in
     keep, gain, k = (rsi_length - 1) / rsi_length, 1 / rsi_length, F.col("_i")
-    raw = {"_g": F.greatest(F.col("_mv"), F.lit(0.0)), "_l": F.greatest(-F.col("_mv"), F.lit(0.0)), "_a": F.col("_tr")}
+    up, down = _high() - F.lag("high").over(w), F.lag("low").over(w) - _low()
+    df = df.withColumns({"_up": F.when((up > down) & (up > 0), up).otherwise(0.0), "_dn": F.when((down > up) & (down > 0), down).otherwise(0.0)})
+    raw = {"_g": F.greatest(F.col("_mv"), F.lit(0.0)), "_l": F.greatest(-F.col("_mv"), F.lit(0.0)), "_a": F.col("_tr"), "_u": F.col("_up"), "_d": F.col("_dn")}
     scans = {n: (F.when(k == 2, 0.0).when(k > 2, keep), F.when(k == 2, c).when(k > 2, gain * c)) for n, c in raw.items()}
+    slow, width = (trend_length - 1) / trend_length, F.col("_tr")
+    scans["_w"] = (F.when(k == 2, 0.0).when(k > 2, slow), F.when(k == 2, width).when(k > 2, width / trend_length))
     df = affine_scan(df, {f"{n}s": s for n, s in scans.items()}, keys=axis.keys, order=axis.order)
     shown = F.col("_i") > rsi_length
+    # directional lines over the average range; their index is averaged from where it is first shown
+    df = df.withColumns({n: F.when(shown, 100 * F.try_divide(c, F.col("_as"))) for n, c in {"dmp": F.col("_us"), "dmn": F.col("_ds")}.items()})
+    df = df.withColumn("_dx", 100 * F.try_divide(F.abs(F.col("dmp") - F.col("dmn")), F.col("dmp") + F.col("dmn")))
+    first = F.col("_i") == rsi_length + 1
+    df = affine_scan(df, {"_adx": (F.when(first, 0.0).when(shown, keep), F.when(first, F.col("_dx")).when(shown, gain * F.col("_dx")))}, keys=axis.keys, order=axis.order)
+    df = df.withColumns({"adx": F.when(F.col("_i") >= 2 * rsi_length, F.col("_adx")), "_width": F.when(F.col("_i") > trend_length, F.col("_ws"))})
+    df = _library_supertrend(df, axis, multiplier)
     df = df.withColumns(
         {
             "rsi": F.when(shown, 100 * F.col("_gs") / (F.col("_gs") + F.col("_ls"))),

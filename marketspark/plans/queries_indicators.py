@@ -459,7 +459,7 @@ def _(t: Tables) -> DataFrame:
     return I.inferred_positioning(with_oi, "oi_close")
 
 
-_LIB = "sma ema wma rsi macd macd_signal macd_hist stoch_k stoch_d atr bb_lower bb_mid bb_upper bb_bandwidth bb_percent zscore obv"
+_LIB = "sma ema wma rsi macd macd_signal macd_hist stoch_k stoch_d atr bb_lower bb_mid bb_upper bb_bandwidth bb_percent zscore obv adx dmp dmn supertrend supertrend_direction"
 _SD20 = full("stddev_samp(close)", 20)
 
 
@@ -472,9 +472,10 @@ _SD20 = full("stddev_samp(close)", 20)
         f"""SELECT symbol, ts, sma, ema, wma, CASE WHEN rn > 14 THEN 100 * ag / (ag + al) END AS rsi, macd, macd_signal, macd - macd_signal AS macd_hist,
         k AS stoch_k, CASE WHEN rn >= 18 THEN avg(k) {over(3)} END AS stoch_d, CASE WHEN rn > 14 THEN aa END AS atr, sma - 2 * sd AS bb_lower, sma AS bb_mid,
         sma + 2 * sd AS bb_upper, 400 * sd / sma AS bb_bandwidth, CASE WHEN sd > 0 THEN (close - sma + 2 * sd) / (4 * sd) END AS bb_percent,
-        CASE WHEN sd > 0 THEN (close - sma) / sd END AS zscore, sum(coalesce(sg, 0) * volume) {over()} AS obv FROM k""",
+        CASE WHEN sd > 0 THEN (close - sma) / sd END AS zscore, sum(coalesce(sg, 0) * volume) {over()} AS obv,
+        CASE WHEN rn >= 28 THEN ax END AS adx, dmp, dmn, CASE WHEN dir = 1 THEN lb ELSE ub END AS supertrend, dir AS supertrend_direction FROM k JOIN x USING (symbol, rn) JOIN st USING (symbol, rn)""",
         b=f"""SELECT *, {TR} AS tr, close - {lag('close')} AS d, sign(close - {lag('close')}) AS sg, {full('avg(close)', 20)} AS sma, {_SD20} AS sd,
-        {_wma_sql('close', 20)} AS wma, {_TOP} AS hi, {_BOT} AS lo FROM bn""",
+        {_wma_sql('close', 20)} AS wma, {_TOP} AS hi, {_BOT} AS lo, high - {lag('high')} AS hm, {lag('low')} - low AS lm FROM bn""",
         r=recursion(
             "b",
             ema=ema_coef("close", 20),
@@ -482,9 +483,18 @@ _SD20 = full("stddev_samp(close)", 20)
             s=ema_coef("close", 26),
             **{
                 o: ("CASE WHEN rn = 2 THEN 0 WHEN rn > 2 THEN 13.0::DOUBLE / 14 END", f"CASE WHEN rn = 2 THEN {x} WHEN rn > 2 THEN 1.0::DOUBLE / 14 * {x} END")
-                for o, x in {"ag": "greatest(d, 0)", "al": "greatest(-d, 0)", "aa": "tr"}.items()
+                for o, x in {"ag": "greatest(d, 0)", "al": "greatest(-d, 0)", "aa": "tr", "au": "(CASE WHEN hm > lm AND hm > 0 THEN hm ELSE 0 END)", "ad": "(CASE WHEN lm > hm AND lm > 0 THEN lm ELSE 0 END)"}.items()
             },
+            aw=("CASE WHEN rn = 2 THEN 0 WHEN rn > 2 THEN 6.0::DOUBLE / 7 END", "CASE WHEN rn = 2 THEN tr WHEN rn > 2 THEN tr / 7 END"),
         ),
+        xr="""SELECT symbol, rn, CASE WHEN aa > 0 THEN 100 * au / aa END AS dmp, CASE WHEN aa > 0 THEN 100 * ad / aa END AS dmn, CASE WHEN au + ad > 0 THEN 100 * abs(au - ad) / (au + ad) END AS dx FROM r WHERE rn > 14""",
+        xx="SELECT symbol, rn - 14 AS rn, dmp, dmn, dx FROM xr",
+        xs=recursion("xx", ax=("CASE WHEN rn = 1 THEN 0 ELSE 13.0::DOUBLE / 14 END", "CASE WHEN rn = 1 THEN dx ELSE dx / 14 END")),
+        x="SELECT bn.symbol, bn.rn, dmp, dmn, ax FROM bn LEFT JOIN xs ON xs.symbol = bn.symbol AND xs.rn + 14 = bn.rn",
+        bw="SELECT symbol, rn, close, CASE WHEN rn > 7 THEN (high + low) / 2 + 3 * aw END AS ub, CASE WHEN rn > 7 THEN (high + low) / 2 - 3 * aw END AS lb FROM r",
+        st="""SELECT symbol, rn, 1 AS dir, ub, lb FROM bw WHERE rn = 1 UNION ALL SELECT symbol, rn, dir,
+        CASE WHEN pu IS NOT NULL AND close <= pu AND close >= pl AND dir = -1 THEN least(ub, pu) ELSE ub END, CASE WHEN pu IS NOT NULL AND close <= pu AND close >= pl AND dir = 1 THEN greatest(lb, pl) ELSE lb END
+        FROM (SELECT b.symbol, b.rn, b.close, b.ub, b.lb, s.ub AS pu, s.lb AS pl, CASE WHEN b.close > s.ub THEN 1 WHEN b.close < s.lb THEN -1 ELSE s.dir END AS dir FROM st s JOIN bw b ON b.symbol = s.symbol AND b.rn = s.rn + 1)""",
         m="SELECT *, f - s AS macd, CASE WHEN hi <> lo THEN 100 * (close - lo) / (hi - lo) WHEN hi = lo THEN 50 END AS rk FROM r",
         g=recursion("m", macd_signal=ema_coef("macd", 9)),
         k=f"SELECT *, CASE WHEN rn >= 16 THEN avg(rk) {over(3)} END AS k FROM g",
