@@ -11,8 +11,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.functions.probability import student_cdf
-from marketspark.session import cut_lineage
+from marketspark.operators.indicators import Axis, add
 from marketspark.operators.series import lookback, series_window, through_now
+from marketspark.session import cut_lineage
+
+
+#: The indicators that describe an entry bar.
+ENTRY_INDICATORS = {
+    "rsi": ("rsi", {"period": 14}),
+    "ema_20": ("ema", {"period": 20}),
+    "ema_50": ("ema", {"period": 50}),
+    "atr": ("atr", {"period": 14}),
+    "adx": ("adx", {"period": 14}),
+    "bbwidth": ("bb_width", {"period": 20, "std": 2.0}),
+    "stoch_k": ("stoch_k", {"period": 14, "smooth": 3}),
+    "cci": ("cci", {"period": 20}),
+    "roc": ("roc", {"period": 12}),
+    "supertrend": ("supertrend", {"period": 10, "mult": 3.0}),
+    "vol_ratio": ("vol_ratio", {"period": 20}),
+    "cmf": ("cmf", {"period": 20}),
+    "williams_r": ("williams_r", {"period": 14}),
+    "linreg": ("linreg_slope", {"period": 20}),
+    "aroon_up": ("aroon_up", {"period": 25}),
+    "aroon_down": ("aroon_down", {"period": 25}),
+}
+DERIVED = ("return_1bar", "return_5bar", "relative_vol")
+
+
+def entry_features(bars: DataFrame, axis: Axis = Axis()) -> DataFrame:
+    """The indicators and three derived features of every bar; undefined ones are 0 (relative volume: 1)."""
+    w = axis.w
+    before = lambda k: F.lag("close", k).over(w)
+    usual = F.avg("volume").over(w.rowsBetween(-20, -1))
+    derived = {f"return_{k}bar": F.when(before(k) > 0, F.col("close") / before(k) - 1) for k in (1, 5)}
+    df = bars.withColumns(derived | {"relative_vol": F.when(usual > 0, F.col("volume") / usual).otherwise(1.0)})
+    df = add(df, ENTRY_INDICATORS, axis)
+    finite = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).otherwise(0.0)
+    return df.withColumns({c: finite(c) for c in (*ENTRY_INDICATORS, *DERIVED)})
 
 
 def feature_importance(trades: DataFrame, features: Sequence[str], *, trees: int = 100, depth: int = 4, least: int = 20, seed: int = 3) -> DataFrame:

@@ -12,7 +12,7 @@ from marketspark.plans.queries_pnl import LEDGER, cross_target, trades_of
 from marketspark.plans.queries_stats import _IC_CTES, _scored
 from marketspark.operators.ranks import percentiles
 from marketspark.plans.registry import query
-from marketspark.plans.sqlkit import with_
+from marketspark.plans.sqlkit import lag, prior, with_
 from marketspark.sources.tables import Tables
 
 LB, SKIP = 12, 2
@@ -199,12 +199,31 @@ def _(t: Tables) -> DataFrame:
     return regress.combine(scores, scores.select("signal").distinct().withColumn("weight", weights[F.col("signal")]))
 
 
+def _entries(t: Tables) -> DataFrame:
+    features = [*learn.ENTRY_INDICATORS, *learn.DERIVED]
+    bars = learn.entry_features(t.bars).select("symbol", F.col("ts").alias("entry_ts"), *features)
+    return trades_of(t).select("symbol", "entry_ts", "pnl").join(bars, ["symbol", "entry_ts"])
+
+
 @query("ml_01_feature_importance", "feature", "importance")
 def _(t: Tables) -> DataFrame:
-    wanted = {"rsi": "rsi", "adx": "adx", "cci": "cci", "mfi": "mfi", "roc": "roc", "atr": "atr", "bbw": "bb_width", "vr": "vol_ratio"}
-    bars = I.add(cross_target(t), wanted)
-    at_entry = trades_of(t).join(bars.select("symbol", F.col("ts").alias("entry_ts"), *wanted), ["symbol", "entry_ts"])
-    return learn.feature_importance(at_entry, list(wanted), trees=8, depth=3)
+    return learn.feature_importance(_entries(t), [*learn.ENTRY_INDICATORS, *learn.DERIVED])
+
+
+@query(
+    "ml_01_derived_features",
+    "symbol entry_ts",
+    "return_1bar return_5bar relative_vol",
+    with_(
+        "bn",
+        f"""SELECT symbol, entry_ts, CASE WHEN c1 > 0 THEN close / c1 - 1 ELSE 0 END AS return_1bar, CASE WHEN c5 > 0 THEN close / c5 - 1 ELSE 0 END AS return_5bar, CASE WHEN usual > 0 THEN volume / usual ELSE 1 END AS relative_vol
+        FROM trades t JOIN (SELECT symbol, ts, close, volume, {lag('close')} AS c1, {lag('close', 5)} AS c5, avg(volume) {prior(20)} AS usual FROM bn) f USING (symbol) WHERE t.entry_ts = f.ts""",
+        **LEDGER,
+    ),
+    digits=5,
+)
+def _(t: Tables) -> DataFrame:
+    return _entries(t)
 
 
 @query("ml_02_regimes", "symbol ts regime", "realised_vol")
