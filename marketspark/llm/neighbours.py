@@ -7,8 +7,9 @@ before aren't compared again. Rounds end when few lists change.
 
 Search: each query starts at its own list, looks up the lists of the nearest vectors it hasn't
 looked at, and keeps the ``BEAM`` nearest of all it has seen, until it has looked at all of them.
-Both compare vectors in eight bits a component; what is found is scored again on the originals in
-double precision.
+Both compare by distance of unit vectors less their common mean, kept in single precision (so that vectors that
+differ little from all others, or inside a cluster, are still told apart) and multiplied in double; what is
+found is scored again on the originals in double precision. Neither rounds nor steps have a bound.
 
 Equal vectors are one node that lists its smallest ids, so copies cost nothing; lists of those that
 name a node are cut to a sample before the shuffle. A query's state is one row of bounded size:
@@ -23,6 +24,7 @@ vec_id and embedding are read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +37,17 @@ from marketspark.llm.common import stored
 LIST, NAMED_BY, SEARCH_NAMED_BY = 32, 20, 40
 #: Vectors of a starting block, and how many such blocks each vector is in.
 BLOCK, STARTS = 1024, 3
-#: Rounds end below this share of changed entries, or after so many.
-CHANGED, MOST_ROUNDS = 0.05, 6
+#: Rounds end below this share of changed entries.
+CHANGED = 0.05
 #: Nodes that a query keeps, of which so many are scored exactly; results of a query.
 BEAM, EXACT, NEAREST = 128, 32, 5
-MOST_STEPS = 40
+#: Below any nearness (minus the squared distance of unit vectors).
+FARTHEST = -9.0
 QUERY_EVERY = 50
 
 
 def nodes(vectors: DataFrame, keep: int = NEAREST + 1) -> DataFrame:
-    """(node, vec, code, ids): distinct vectors, in eight bits too, with their smallest ids."""
+    """(node, vec, code, ids): distinct vectors with their smallest ids; the code is the unit vector less the mean of all."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("id").isNotNull() & F.col("vec").isNotNull()).filter(finite & F.exists("vec", lambda x: x != 0))
@@ -52,22 +55,49 @@ def nodes(vectors: DataFrame, keep: int = NEAREST + 1) -> DataFrame:
     rows = rows.filter(F.size("vec") == (common["length"] if common else 0))
     first = rows.withColumn("at", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).filter(F.col("at") <= keep)
     classes = first.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return stored(classes.mapInArrow(_coded, "vec array<double>, ids array<long>, code binary").withColumn("node", F.monotonically_increasing_id()))
+    whole = stored(classes)
+    sums = whole.mapInArrow(_summed, "n long, total array<double>").toPandas()  # one row a task
+    mean = np.sum(np.stack(sums["total"].to_list()), axis=0) / sums["n"].sum() if len(sums) else np.zeros(0)
+    return stored(whole.mapInArrow(_coded(mean), "vec array<double>, ids array<long>, code binary").withColumn("node", F.monotonically_increasing_id()))
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(vectors: pa.Array) -> np.ndarray:
+    """Rows of unit length. Rows are scaled by their largest component first: squares of any double stay in range."""
+    flat = vectors.flatten().to_numpy().reshape(len(vectors), -1)
+    scaled = flat / np.abs(flat).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, total = 0, None
     for batch in batches:
-        flat = batch.column(0).flatten().to_numpy().reshape(len(batch.column(0)), -1)
-        code = np.rint(flat / np.abs(flat).max(axis=1, keepdims=True) * 127).astype(np.int8) if len(flat) else flat
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in code], pa.binary())], ["vec", "ids", "code"])
+        if batch.num_rows:
+            part = _units(batch.column(0)).sum(axis=0)
+            n, total = n + batch.num_rows, part if total is None else total + part
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()], pa.list_(pa.float64()))], ["n", "total"])
+
+
+def _coded(mean: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = (_units(batch.column(0)) - mean).astype(np.float32) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in code], pa.binary())], ["vec", "ids", "code"])
+
+    return run
 
 
-def _unit(codes: pa.Array) -> np.ndarray:
-    """Codes as rows of unit length."""
+def _decoded(codes: pa.Array) -> np.ndarray:
     n = len(codes)
-    width = len(codes[0].as_py()) if n else 0
-    whole = np.frombuffer(b"".join(codes.to_pylist()), np.int8).reshape(n, width).astype(np.float32)
-    return whole / np.linalg.norm(whole, axis=1, keepdims=True)
+    width = len(codes[0].as_py()) // 4 if n else 0
+    return np.frombuffer(b"".join(codes.to_pylist()), np.float32).reshape(n, width).astype(np.float64)
+
+
+def _nearness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Minus the squared distance of each row of ``x`` to each of ``y``; they are moved to their middle first, where little cancels."""
+    middle = y.mean(axis=0)
+    x, y = x - middle, y - middle
+    return 2 * (x @ y.T) - np.einsum("ij,ij->i", x, x)[:, None] - np.einsum("ij,ij->i", y, y)
 
 
 def _pairs(v: list, u: list, s: list) -> pa.RecordBatch:
@@ -80,9 +110,9 @@ def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(len(batch.column(0))):
             members = batch.column(0)[row].values
-            ids, unit = members.field(0).to_numpy(), _unit(members.field(1))
-            near = unit @ unit.T
-            np.fill_diagonal(near, -2)
+            ids, own = members.field(0).to_numpy(), _decoded(members.field(1))
+            near = _nearness(own, own).astype(np.float32)
+            np.fill_diagonal(near, FARTHEST)
             most = min(LIST, len(ids) - 1)
             if most < 1:
                 continue
@@ -96,11 +126,11 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column(0)
         offsets, flat = lists.offsets.to_numpy(), lists.flatten()
         ids, fresh = flat.field(0).to_numpy(), flat.field(1).to_numpy(zero_copy_only=False)
-        far, unit = flat.field(2).to_numpy(), _unit(flat.field(3))
+        far, own = flat.field(2).to_numpy(), _decoded(flat.field(3))
         base = offsets[0]
         v, u, s = [], [], []
         for a, b in zip((offsets[:-1] - base).tolist(), (offsets[1:] - base).tolist(), strict=True):
-            near = unit[a:b] @ unit[a:b].T
+            near = _nearness(own[a:b], own[a:b]).astype(np.float32)
             new = fresh[a:b]
             at, to = np.nonzero((near > far[a:b, None]) & (new[:, None] | new) & (ids[a:b, None] != ids[a:b]))
             v.append(ids[a:b][at])
@@ -128,8 +158,8 @@ def graph(points: DataFrame) -> DataFrame:
         begun = begun.union(more)
     pairs = begun.select("members").repartition(max(blocks, 1)).mapInArrow(_in_blocks, "v long, u long, s float")
     now = stored(_best(pairs.withColumn("fresh", F.lit(True))))
-    for turn in range(MOST_ROUNDS if blocks > 1 else 0):
-        far = now.groupBy("v").agg(F.min("s").alias("far"), F.count("*").alias("n")).select("v", F.when(F.col("n") < LIST, F.lit(-2.0)).otherwise(F.col("far")).cast("float").alias("far"))
+    for turn in count() if blocks > 1 else ():
+        far = now.groupBy("v").agg(F.min("s").alias("far"), F.count("*").alias("n")).select("v", F.when(F.col("n") < LIST, F.lit(FARTHEST)).otherwise(F.col("far")).cast("float").alias("far"))
         lookup = points.select(F.col("node").alias("u"), "code").join(far.withColumnRenamed("v", "u"), "u")
         sample = Window.partitionBy("v").orderBy(F.desc("fresh"), F.xxhash64("u", F.lit(turn)))
         named = now.select(F.col("u").alias("v"), F.col("v").alias("u"), "fresh").withColumn("at", F.row_number().over(sample)).filter(F.col("at") <= NAMED_BY).drop("at")
@@ -155,9 +185,9 @@ def _looked(beam: int) -> Callable:
                 new = row["new"] or []
                 ids, near = np.array(row["beam"], np.int64), np.array(row["near"], np.float32)
                 if new:
-                    unit = _unit(pa.array([row["code"], *(x["code"] for x in new)], pa.binary()))
+                    own = _decoded(pa.array([row["code"], *(x["code"] for x in new)], pa.binary()))
                     ids = np.concatenate((ids, np.array([x["node"] for x in new], np.int64)))
-                    near = np.concatenate((near, unit[1:] @ unit[0]))
+                    near = np.concatenate((near, -((own[1:] - own[0]) ** 2).sum(axis=1).astype(np.float32)))
                     order = np.lexsort((ids, -near))[:beam]
                     is_new = order >= len(row["beam"])
                     ids, near = ids[order], near[order]
@@ -184,10 +214,10 @@ def searched(points: DataFrame, edges: DataFrame, starts: DataFrame, beam: int =
     own = codes.join(starts.select(F.col("node")).distinct(), "node")
     state = stored(
         own.select(
-            F.col("node").alias("q"), "code", F.array("node").alias("beam"), F.array(F.lit(1.0).cast("float")).alias("near"), F.array(F.lit(True)).alias("open"), F.array("node").alias("seen")
+            F.col("node").alias("q"), "code", F.array("node").alias("beam"), F.array(F.lit(0.0).cast("float")).alias("near"), F.array(F.lit(True)).alias("open"), F.array("node").alias("seen")
         )
     )
-    for _ in range(MOST_STEPS):
+    while True:
         frontier = state.select("q", F.explode(F.arrays_zip("beam", "open")).alias("x")).filter("x.open").select("q", F.col("x.beam").alias("v"))
         reached = frontier.join(lists, "v").select("q", F.explode("us").alias("node")).distinct().groupBy("q").agg(F.collect_list("node").alias("nodes"))
         fresh = reached.join(state.select("q", "seen"), "q").select("q", F.explode(F.array_except("nodes", "seen")).alias("node"))
@@ -210,7 +240,17 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, most: int = NEAREST, b
     def dot(x: str, y: str):
         return F.aggregate(F.zip_with(x, y, lambda p, r: p * r), F.lit(0.0), lambda acc, t: acc + t)
 
-    scored = found.join(left, "q").join(right, "u").select("q", "ids", (dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))).alias("score"))
+    def cosine(x: str, y: str):
+        return F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+
+    def scaled(x: str):
+        return F.transform(x, lambda c: c / F.array_max(F.transform(x, F.abs)))
+
+    met = found.join(left, "q").join(right, "u").select("q", "ids", "a", "b")
+    # squares of very small or large components leave the range of doubles: those vectors are scaled first
+    plain = (dot("a", "a") > 1e-200) & (dot("a", "a") < 1e200) & (dot("b", "b") > 1e-200) & (dot("b", "b") < 1e200)
+    wide = met.withColumns({"_plain": plain, "_a": F.when(~plain, scaled("a")), "_b": F.when(~plain, scaled("b"))})
+    scored = wide.select("q", "ids", F.when(F.col("_plain"), cosine("a", "b")).otherwise(cosine("_a", "_b")).alias("score"))
     # a query's row drops its own id later, so each node keeps one more than asked for
     listed = scored.select("q", F.explode("ids").alias("vec_id"), "score")
     listed = listed.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("at") <= most + 1).drop("at")

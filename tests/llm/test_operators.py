@@ -618,3 +618,32 @@ def test_few_vectors(spark):
     assert neighbours.nearest(spark.createDataFrame([(50, [1.0])], "vec_id long, embedding array<float>")).count() == 0
     two = neighbours.nearest(spark.createDataFrame([(50, [1.0, 0.0]), (7, [1.0, 1.0]), (3, [2.0, 0.0])], "vec_id long, embedding array<float>")).orderBy("rank").collect()
     assert [(r["rank"], r["vec_id"]) for r in two] == [(1, 3), (2, 7)] and two[0]["score"] == 1.0
+
+
+def recall(spark, x):
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in neighbours.nearest(rows).collect():
+        found[r["query_id"]].append(r["score"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = total = 0
+    for q in range(0, len(x), neighbours.QUERY_EVERY):
+        cosines = np.delete(unit @ unit[q], q)
+        fifth = np.sort(cosines)[-5]
+        hit += sum(s >= fifth - 1e-13 for s in found[q])
+        total += 5
+    return hit / total
+
+
+@pytest.mark.parametrize("kind", ["clusters", "common mean", "random"])
+def test_recall_on_low_contrast(spark, kind):
+    rng = np.random.default_rng(6)
+    noise = rng.normal(size=(2000, 32))
+    x = {"clusters": rng.normal(size=(20, 32))[np.arange(2000) % 20] + 1e-3 * noise, "common mean": rng.normal(size=32) + 1e-3 * noise, "random": noise}[kind]
+    assert recall(spark, x) >= 0.9
+
+
+def test_tiny_and_huge_vectors(spark):
+    rows = [(50, [1e-200, 1e-200]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [0.0, 1e200]), (4, [1.0, 1.0]), (5, [1e-320, 1e-320])]
+    got = {r["vec_id"]: r["score"] for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == pytest.approx({1: 1.0, 4: 1.0, 5: 1.0, 2: 0.5**0.5, 3: 0.5**0.5})
