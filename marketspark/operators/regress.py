@@ -347,7 +347,7 @@ def orthogonalise(scores: DataFrame, factors: DataFrame, names: Sequence[str]) -
 # ── combination ────────────────────────────────────────────────────────────────────────────
 
 
-def max_ir_weights(ics: DataFrame, scores: DataFrame, *, gross: float = 1.0, floor: float = 0.0, shrink: bool = True, blocks: int = 1) -> DataFrame:
+def max_ir_weights(ics: DataFrame, scores: DataFrame, *, gross: float = 1.0, floor: float = 0.0, shrink: bool = True, blocks: int | None = None) -> DataFrame:
     """Signal weights Σ⁻¹·IC, scaled to a gross exposure. ``scores``: dense (ts, signal, score)."""
     panel = scores.select("ts", F.col("signal").alias("symbol"), F.col("score").alias("ret"))
     if shrink:

@@ -237,7 +237,7 @@ def promotion_verdict(gates: DataFrame, keys: Sequence[str]) -> DataFrame:
     return gates.groupBy(*keys).agg(F.bool_and("passed").alias("promoted"), F.count(F.when(~F.col("passed"), 1)).alias("failed"))
 
 
-def pair_alerts(curves: DataFrame, *, window: int = 48, alert: float = 0.7, reduce: float = 0.85, blocks: int = 1) -> DataFrame:
+def pair_alerts(curves: DataFrame, *, window: int = 48, alert: float = 0.7, reduce: float = 0.85, blocks: int | None = None) -> DataFrame:
     """Correlation of the last returns of equity curves that share times, with the advice it leads to."""
     from marketspark.operators.panel import correlations
 

@@ -50,3 +50,13 @@ def test_kelly_weights(spark):
     got = panel.kelly_weights(spark.createDataFrame(long, "ts long, symbol string, ret double"), fraction=0.01, max_single=9.0, max_gross=99.0)
     want = np.linalg.solve(np.cov(x.T) + 1e-8 * np.eye(30), 0.01 * x.mean(axis=0))
     assert np.allclose(got.orderBy("symbol").toPandas()["w"], want, rtol=1e-6)
+
+
+def test_blocks_do_not_change_sums(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 23))
+    long = spark.createDataFrame([(t, f"S{k:02d}", float(x[t, k])) for t in range(40) for k in range(23)], "ts long, symbol string, ret double")
+    monkeypatch.setattr(panel, "BLOCK_SYMBOLS", 5)  # five blocks
+    got = {(r["a"], r["b"]): r["corr"] for r in panel.correlations(long).collect()}
+    want = np.corrcoef(x.T)
+    assert len(got) == 23 * 22 // 2 and all(got[f"S{i:02d}", f"S{j:02d}"] == pytest.approx(want[i, j]) for i in range(23) for j in range(i + 1, 23))
