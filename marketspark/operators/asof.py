@@ -121,8 +121,9 @@ def walk_book(orders: DataFrame, levels: DataFrame, on: Sequence[str]) -> DataFr
     so the window per order is small."""
     against = F.when(F.col("side") == "buy", "ask").otherwise("bid")
     usable = levels.where("px > 0 and sz > 0").select(*on, F.col("side").alias("_side"), "px", "sz")
-    matched = orders.withColumn("_side", against).join(usable, [*on, "_side"], "left").withColumn("_first", F.when(F.col("side") == "buy", F.col("px")).otherwise(-F.col("px")))
-    w = Window.partitionBy("order_id").orderBy("_first", "sz").rowsBetween(Window.unboundedPreceding, -1)
+    matched = orders.withColumn("_side", against).join(usable, [*on, "_side"], "left").withColumns({f"_{c}": F.when(F.col("side") == "buy", F.col(c)).otherwise(-F.col(c)) for c in ("px", "sz")})
+    # the order of the snapshot's arrays: equal bids with the larger size first, equal asks with the smaller
+    w = Window.partitionBy("order_id").orderBy("_px", "_sz").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("sz").over(w), F.lit(0.0))
     take = F.greatest(F.lit(0.0), F.least(F.col("sz"), F.col("req") - before))
     taken = matched.withColumn("_take", F.coalesce(take, F.lit(0.0)))
