@@ -11,6 +11,7 @@ from marketspark.operators.asof import bucket_lookup
 from marketspark.plans.queries_pnl import LEDGER, cross_target, trades_of
 from marketspark.plans.queries_stats import _IC_CTES, _scored
 from marketspark.operators.ranks import percentiles
+from marketspark.operators.series import correlation
 from marketspark.plans.registry import query
 from marketspark.plans.sqlkit import lag, prior, with_
 from marketspark.sources.tables import Tables
@@ -183,7 +184,7 @@ def _(t: Tables) -> DataFrame:
     cal = calendar(mk)
     ahead = cal.join(mk, "ts").select((F.col("t") - 1).alias("t"), F.col("mkt").alias("fwd"))
     joined = scores.join(cal, "ts").join(ahead, "t")
-    ics = joined.groupBy("signal").agg(F.corr("score", "fwd").alias("ic"))
+    ics = joined.groupBy("signal").agg(correlation(F.col("score"), F.col("fwd")).alias("ic"))
     return regress.max_ir_weights(ics, scores)
 
 
