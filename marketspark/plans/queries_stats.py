@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketspark.operators import pnl, stats
 from marketspark.operators import indicators as I
+from marketspark.operators.series import parts_for
 from marketspark.plans.queries_pnl import COSTS, LEDGER, cross_target, grid_metrics, ledger_ctes, trades_of
 from marketspark.plans.registry import query
 from marketspark.plans.sqlkit import lag, normal_cdf_sql, normal_ppf_sql, over, with_
@@ -212,8 +213,10 @@ WF_KEYS = ("symbol", "window", "role")
 
 def walk_forward_metrics(t: Tables) -> DataFrame:
     bars = _windows(t)
-    trades = pnl.ledger(bars, COSTS, keys=WF_KEYS)
-    return pnl.equity_metrics(pnl.equity_on_bars(bars, trades, keys=WF_KEYS), 52.0, keys=WF_KEYS)
+    # a bar is tested once and trained on in the windows that overlap it
+    parts = parts_for(t.spark, (1 + -(-_TRAIN // _TEST)) * t.deal_count)
+    trades = pnl.ledger(bars.repartition(parts, *WF_KEYS), COSTS, keys=WF_KEYS)
+    return pnl.equity_metrics(pnl.equity_on_bars(bars, trades, keys=WF_KEYS, parts=parts), 52.0, keys=WF_KEYS)
 
 
 _WF_SQL = {
