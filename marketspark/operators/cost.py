@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,15 +160,19 @@ def capacity_curve(df: DataFrame, points: int = 30, gamma: float = GAMMA) -> Dat
     return out.withColumn("impact_bps", impact).withColumn("net_alpha_bps", F.col("alpha_bps") - F.col("impact_bps"))
 
 
-def basket_impact(trades: DataFrame, correlations: DataFrame, damping: float = 1.0, gamma: float = GAMMA) -> DataFrame:
+def basket_impact(trades: DataFrame, correlations: DataFrame | Callable[[DataFrame], DataFrame], damping: float = 1.0, gamma: float = GAMMA) -> DataFrame:
     """Impact on each leg of a basket from all legs: Σ sign_j·ρ_ij·own_j, off-diagonal terms damped.
 
-    ``trades``: symbol, q (signed USD), adv_usd, daily_vol. ``correlations``: a < b, corr.
+    ``trades``: symbol, q (signed USD), adv_usd, daily_vol. ``correlations``: a < b, corr; or, for many symbols, what
+    makes (symbol, total) from weights (symbol, w), as ``panel.weighted_correlations``, with no row per pair.
     """
     own = F.coalesce(sqrt_impact_bps(F.abs("q"), F.col("adv_usd"), F.col("daily_vol"), gamma), F.lit(0.0))
     legs = trades.withColumns({"own_bps": own, "_push": F.signum("q") * own})
-    both = correlations.select("a", "b", "corr").unionByName(correlations.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
-    pushed = both.join(legs.select(F.col("symbol").alias("b"), "_push"), "b").groupBy(F.col("a").alias("symbol")).agg((F.sum(F.col("corr") * F.col("_push")) * damping).alias("cross_bps"))
+    if callable(correlations):
+        pushed = correlations(legs.select("symbol", F.col("_push").alias("w"))).select("symbol", (F.col("total") * damping).alias("cross_bps"))
+    else:
+        both = correlations.select("a", "b", "corr").unionByName(correlations.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
+        pushed = both.join(legs.select(F.col("symbol").alias("b"), "_push"), "b").groupBy(F.col("a").alias("symbol")).agg((F.sum(F.col("corr") * F.col("_push")) * damping).alias("cross_bps"))
     out = legs.join(pushed, "symbol", "left").withColumn("cross_bps", F.coalesce("cross_bps", F.lit(0.0)))
     out = out.withColumn("impact_bps", F.col("_push") + F.col("cross_bps"))
     return out.withColumns({"cost_usd": F.col("q") * F.col("impact_bps") / 10_000, "own_cost_usd": F.abs("q") * F.col("own_bps") / 10_000}).drop("_push")
