@@ -39,7 +39,8 @@ def _cut(df: DataFrame, keys: Sequence[str], values: Sequence[str], range_rows:
     step = F.greatest(F.lit(1), F.floor(F.lit(RANGES) / wanted))
     edges = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(v, cuts, 10 * RANGES).alias(f"_e{i}") for i, v in enumerate(values)])
     edges = edges.withColumns({f"_e{i}": F.filter(f"_e{i}", lambda _, at: (at + 1) % step == 0) for i in range(len(values))})
-    joined = df.join(edges, list(keys)) if keys else df.crossJoin(F.broadcast(edges))  # one row without keys
+    # only groups of over range_rows rows are cut: there is a row, and an edge, for each range_rows rows at most
+    joined = df.join(F.broadcast(edges), list(keys)) if keys else df.crossJoin(F.broadcast(edges))
     tagged = joined.withColumns(
         {f"_r{i}": F.size(F.filter(f"_e{i}", lambda e: e < F.col(v))) * 2 + (F.size(F.filter(f"_e{i}", lambda e: e == F.col(v))) > 1).cast("int") for i, v in enumerate(values)}
     ).drop(*[f"_e{i}" for i in range(len(values))])
@@ -60,7 +61,7 @@ def _by_size(rows: DataFrame, keys: Sequence[str], range_rows: int) -> tuple[Dat
     if not keys:
         return rows.limit(0), rows
     same = [F.col(k).eqNullSafe(F.col(f"_l{i}")) for i, k in enumerate(keys)]
-    named = large.select(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)])
+    named = F.broadcast(large.select(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)]))  # one for each range_rows rows at most
     return rows.join(named, same, "left_anti"), rows.join(named, same, "left_semi")
 
 
@@ -113,16 +114,19 @@ def average_ranks(df: DataFrame, keys: Sequence[str], values: dict[str, str], ra
 def _average_ranks(rows: DataFrame, keys: Sequence[str], values: dict[str, str], range_rows: int) -> DataFrame:
     names, columns = list(values), rows.columns
     tagged, groups = _cut(rows, keys, names, range_rows)
-    out = tagged.drop("n").join(groups.drop("n"), list(keys)) if keys else tagged.drop("n").crossJoin(F.broadcast(groups.drop("n")))
+    small = F.broadcast(groups.drop("n"))
+    out = tagged.drop("n").join(small, list(keys)) if keys else tagged.drop("n").crossJoin(small)
+    # looked up before any exchange: the maps grow with the group and must not travel with its rows
+    places = {i: F.element_at(f"_m{i}", F.col(f"_r{i}")) for i in range(len(names))}
+    out = out.withColumns({f"_below{i}": p["below"] for i, p in places.items()} | {f"_rows{i}": p["rows"] for i, p in places.items()}).drop(*[f"_m{i}" for i in places])
     for i, v in enumerate(names):
         r = f"_r{i}"
-        place = F.element_at(f"_m{i}", F.col(r))
-        out = out.withColumns({"_below": place["below"], "_rows": place["rows"], "_s": _spread(columns, r)})
+        out = out.withColumn("_s", _spread(columns, r))
         # said outright, as the join before has the rows of a group together
         out = out.repartition(*keys, r, "_s")
         inside = Window.partitionBy(*keys, r, "_s")
         ordered = F.rank().over(inside.orderBy(v)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, r, "_s", v)) - 1) / 2
-        out = out.withColumn(values[v], F.col("_below") + F.when(F.col(r) % 2 == 1, (F.col("_rows") + 1) / 2).otherwise(ordered))
+        out = out.withColumn(values[v], F.col(f"_below{i}") + F.when(F.col(r) % 2 == 1, (F.col(f"_rows{i}") + 1) / 2).otherwise(ordered)).drop(r, f"_below{i}", f"_rows{i}")
     return out.select(*columns, *values.values())
 
 
