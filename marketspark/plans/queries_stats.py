@@ -253,7 +253,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("sta_13_trade_bootstrap", "symbol", "p5 p10 p25 p50 p75 p90 p95 dd_p5 dd_p25 dd_p50 dd_p75 dd_p95 prob_profit prob_ruin median_sharpe")
 def _(t: Tables) -> DataFrame:
-    return stats.trade_bootstrap_summary(stats.trade_bootstrap(trades_of(t), 52.0))
+    return stats.trade_bootstrap(trades_of(t), 52.0)
 
 
 _H = (1, 3, 6, 12)
