@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.functions.probability import student_cdf
-from marketspark.operators.indicators import Axis, add
+from marketspark.operators.indicators import RECURSIONS, Axis, add, add_recursions
 from marketspark.operators.series import lookback, series_window, through_now
 from marketspark.session import cut_lineage
 
@@ -45,11 +45,30 @@ def entry_features(bars: DataFrame, axis: Axis = Axis()) -> DataFrame:
     usual = F.avg("volume").over(w.rowsBetween(-20, -1))
     derived = {f"return_{k}bar": F.when(before(k) > 0, F.col("close") / before(k) - 1) for k in (1, 5)}
     df = bars.withColumns(derived | {"relative_vol": F.when(usual > 0, F.col("volume") / usual).otherwise(1.0)})
-    df = add(df, ENTRY_INDICATORS, axis)
+    # recursions last: what a window reads behind them would be exchanged again
+    df = add(df, {n: want for n, want in ENTRY_INDICATORS.items() if want[0] not in RECURSIONS}, axis)
+    df = add_recursions(df, {n: want for n, want in ENTRY_INDICATORS.items() if want[0] in RECURSIONS}, axis)
     finite = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).otherwise(0.0)
     return df.withColumns({c: finite(c) for c in (*ENTRY_INDICATORS, *DERIVED)})
 
 
+def entries(bars: DataFrame, trades: DataFrame, axis: Axis = Axis(), *, parts: int | None = None) -> DataFrame:
+    """The trades that enter at a bar (keys, ``entry_ts``, ``pnl``) with the features of that bar.
+
+    Bars and trades go through one exchange by series (of ``parts`` partitions, if given); the features are made
+    behind it and only those of entries are kept, so none of them is shuffled.
+    """
+    keys, none = list(axis.keys), F.lit(None).cast("double")
+    columns = ["open", "high", "low", "close", "volume"]
+    bought = trades.select(*keys, F.col("entry_ts").alias("ts"), *[none.alias(c) for c in columns], F.col("pnl").cast("double").alias("pnl"), F.lit(False).alias("_bar"))
+    both = bars.select(*keys, "ts", *[F.col(c).cast("double").alias(c) for c in columns], none.alias("pnl"), F.lit(True).alias("_bar")).unionByName(bought)
+    both = both.where(" and ".join(f"{k} is not null" for k in keys))
+    both = both.repartition(parts, *keys) if parts else both
+    here = axis.w.rangeBetween(Window.currentRow, Window.currentRow)
+    marked = both.withColumns({"pnl": F.max("pnl").over(here), "entered": F.count(F.when(~F.col("_bar"), 1)).over(here) > 0}).where("_bar").drop("_bar")
+    return entry_features(marked, axis).where("entered").withColumnRenamed("ts", "entry_ts").select(*keys, "entry_ts", "pnl", *ENTRY_INDICATORS, *DERIVED)
+
+
 def feature_importance(trades: DataFrame, features: Sequence[str], *, trees: int = 100, depth: int = 4, least: int = 20, seed: int = 3) -> DataFrame:
     """(feature, importance) of boosted trees that tell winning from losing trades; empty with too few trades."""
     spark = trades.sparkSession

@@ -11,7 +11,7 @@ from marketspark.operators.asof import bucket_lookup
 from marketspark.plans.queries_pnl import LEDGER, cross_target, trades_of
 from marketspark.plans.queries_stats import _IC_CTES, _scored
 from marketspark.operators.ranks import percentiles
-from marketspark.operators.series import correlation
+from marketspark.operators.series import correlation, parts_for
 from marketspark.plans.registry import query
 from marketspark.plans.sqlkit import lag, prior, with_
 from marketspark.sources.tables import Tables
@@ -201,9 +201,8 @@ def _(t: Tables) -> DataFrame:
 
 
 def _entries(t: Tables) -> DataFrame:
-    features = [*learn.ENTRY_INDICATORS, *learn.DERIVED]
-    bars = learn.entry_features(t.bars).select("symbol", F.col("ts").alias("entry_ts"), *features)
-    return trades_of(t).select("symbol", "entry_ts", "pnl").join(bars, ["symbol", "entry_ts"])
+    # wide rows: smaller partitions than usual
+    return learn.entries(t.bars, trades_of(t), parts=parts_for(t.spark, 4 * t.deal_count))
 
 
 @query("ml_01_feature_importance", "feature", "importance")
