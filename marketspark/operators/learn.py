@@ -35,6 +35,8 @@ ENTRY_INDICATORS = {
     "aroon_up": ("aroon_up", {"period": 25}),
     "aroon_down": ("aroon_down", {"period": 25}),
 }
+#: Rows of a partition of the booster's input.
+BOOST_ROWS = 500_000
 DERIVED = ("return_1bar", "return_5bar", "relative_vol")
 
 
@@ -78,6 +80,9 @@ def feature_importance(trades: DataFrame, features: Sequence[str], *, trees: int
     if spread["n"] < least or spread["k"] < 2:
         return spark.createDataFrame([], "feature string, importance double")
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(labelled)
+    # hundreds of small passes: a task for each partition of the features would cost more than its rows
+    most = max(spark.sparkContext.defaultParallelism, -(-spread["n"] // BOOST_ROWS))
+    data = data.coalesce(most)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed).fit(data)
     weights = model.featureImportances.toArray().tolist()
     return spark.createDataFrame(list(zip(features, weights)), "feature string, importance double")
