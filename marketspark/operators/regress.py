@@ -21,7 +21,7 @@ from marketspark.operators.panel import correlations, ledoit_wolf, moments
 from marketspark.operators.ranks import percentiles
 from marketspark.operators.series import lookback, series_window
 from marketspark.operators.tiles import solve
-from marketspark.session import cut_lineage
+from marketspark.session import cut_lineage, written
 
 HUBER_C = 1.345  # fixed value
 #: Median absolute deviation of a standard normal.
@@ -246,7 +246,8 @@ def _huber_passes(valid: DataFrame, y: str, xs: Sequence[str], keys: Sequence[st
 def huber_newey_west(df: DataFrame, y: str, xs: Sequence[str], *, keys: Sequence[str], order: Sequence[str] = ("ts",), steps: int = 50, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Huber regression by reweighting (scale from the median absolute residual), Newey–West errors on
     the weighted residuals, pseudo-R². Series of over ``group_rows`` rows are fitted by passes over all tasks."""
-    valid = df.where(" and ".join(f"{c} is not null" for c in [y, *xs])).select(*keys, *order, y, *xs)
+    # the count of each series, the fits and their passes read these rows: what makes them runs once
+    valid = written(df.where(" and ".join(f"{c} is not null" for c in [y, *xs])).select(*keys, *order, y, *xs))
     long = cut_lineage(valid.groupBy(*keys).count().where(F.col("count") > group_rows).select(*keys))
     fit = _huber_groups(valid.join(long, list(keys), "left_anti"), y, xs, keys, order, steps)
     if not long.isEmpty():

@@ -14,6 +14,7 @@ from marketspark.operators.ranks import percentiles
 from marketspark.operators.series import correlation, parts_for
 from marketspark.plans.registry import query
 from marketspark.plans.sqlkit import lag, prior, with_
+from marketspark.session import written
 from marketspark.sources.tables import Tables
 
 LB, SKIP = 12, 2
@@ -67,12 +68,14 @@ def _(t: Tables) -> DataFrame:
     return regress.momentum_factor(t.panel, LB, SKIP)
 
 
-def _factors(t: Tables) -> DataFrame:
-    return regress.market_factor(t.panel).join(regress.size_factor(t.panel, LB), "ts").join(regress.momentum_factor(t.panel, LB, SKIP), "ts")
+def _factors(t: Tables, panel: DataFrame | None = None) -> DataFrame:
+    panel = t.panel if panel is None else panel
+    return regress.market_factor(panel).join(regress.size_factor(panel, LB), "ts").join(regress.momentum_factor(panel, LB, SKIP), "ts")
 
 
 def _joined(t: Tables) -> DataFrame:
-    return t.panel.join(_factors(t), "ts")
+    panel = written(t.panel)  # the three factors and the join read it
+    return panel.join(_factors(t, panel), "ts")
 
 
 @query("join_09_factor_alignment", "symbol ts", "ret mkt smb umd", with_("panel", "SELECT * FROM jn", **_FACT))
@@ -109,8 +112,9 @@ def _(t: Tables) -> DataFrame:
 @query("reg_02_huber_equation", "symbol n", "e0 e1 e2 e3", with_("panel", "SELECT symbol, n, 0 AS e0, 0 AS e1, 0 AS e2, 0 AS e3 FROM mm WHERE n >= 6", **_FACT), digits=5)
 def _(t: Tables) -> DataFrame:
     """Σ ψ(r / s)·x of the Huber fit, over Σ |ψ(r / s)·x|: zero where it solves its equation."""
-    rows = _regressed(t)
-    fit = regress.huber_newey_west(rows, "ret", FACTORS, keys=["symbol"])
+    rows = written(_regressed(t))
+    # the residuals and their scale read the fit: it runs once
+    fit = written(regress.huber_newey_west(rows, "ret", FACTORS, keys=["symbol"]).select("symbol", "coef"))
     resid = regress.residuals(rows, fit, "ret", FACTORS, keys=["symbol"]).where("resid is not null")
     scale = percentiles(resid.withColumn("_a", F.abs("resid")), ["symbol"], "_a", {"m": 0.5})
     psi = F.greatest(F.lit(-regress.HUBER_C), F.least(F.lit(regress.HUBER_C), F.col("resid") / (F.col("m") / regress.MAD)))
